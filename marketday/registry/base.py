@@ -74,6 +74,19 @@ def stored(df: DataFrame) -> DataFrame:
     return stage(df, "mart")
 
 
+SLIVER = 0.0000012345678
+
+
+def shown(col, digits: int = 4):
+    """A computed value to a few digits; the sliver keeps exact ties off the rounding edge, where the
+    order of a floating point sum would decide."""
+    return F.round(F.col(col) + SLIVER if isinstance(col, str) else col + SLIVER, digits)
+
+
+def shown_sql(expr: str, digits: int = 4) -> str:
+    return f"round({expr} + {SLIVER:.13f}, {digits})"
+
+
 AS_OF = "(SELECT max(CAST(o_orderdate AS DATE)) FROM orders)"
 
 FACT_SQL = """,
