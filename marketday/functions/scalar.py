@@ -18,8 +18,8 @@ def _over(numerator: Column, divisor: Column) -> Column:
 
 
 def safe_divide(numerator: Column, denominator: Column) -> Column:
-    """NULL where the denominator is NULL or zero."""
-    return _over(numerator, denominator)
+    """NULL where the denominator is NULL or zero; decimals are divided as decimals."""
+    return F.try_divide(numerator, F.nullif(denominator, F.lit(0)))
 
 
 def zscore(x: Column, mean: Column, stddev: Column) -> Column:

@@ -83,7 +83,9 @@ def brand_kpi(fact: DataFrame, orders: DataFrame, per_line: bool = False) -> Dat
         (F.col("total_order_lines") * times).alias("total_order_lines"),
         (F.col("total_quantity") * times).alias("total_quantity"),
         (F.col("total_sales") * times).cast("decimal(38,2)").alias("total_sales"),
-        safe_divide(F.col("total_sales"), F.col("total_orders")).cast("decimal(38,2)").alias("avg_order_value"),
+        # Decimal by decimal, with 13 digits to spare before the value is rounded to cents.
+        safe_divide(F.col("total_sales").cast("decimal(27,2)"), F.col("total_orders").cast("decimal(12,0)"))
+        .cast("decimal(38,2)").alias("avg_order_value"),
         F.coalesce("unique_customers", F.lit(0)).alias("unique_customers"),
     )
 

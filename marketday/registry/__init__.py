@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("views", "relational", "scalars", "marts")
+MODULES = ("views", "relational", "scalars", "marts", "governance", "io")
 
 
 def _registries():

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from marketday.operators.rebuild import cutoff_date, in_window, rebuild_partitions, rebuilt
@@ -35,6 +37,10 @@ def p_fact_daily_history(spark, sf_dir):
     return marts.daily_item_sales(views.orders_v(roles(spark, sf_dir)))
 
 
+# Cents divided by orders, rounded half up in whole numbers.
+_AOV = "CAST((2 * CAST(sum(net_sales) * 100 AS BIGINT) + sum(orders_count)) // (2 * nullif(sum(orders_count), 0)) AS DOUBLE) / 100"
+
+
 def _kpi_sql(days: str, per_line: bool) -> str:
     times = "greatest(coalesce(max(lines), 1), 1)" if per_line else "1"
     return with_fact(f"""
@@ -44,7 +50,7 @@ SELECT CAST(f.date AS VARCHAR) AS date, f.truck_brand_name, CAST(sum(orders_coun
        CAST(sum(order_lines) * {times} AS BIGINT) AS total_order_lines,
        CAST(sum(quantity) * {times} AS BIGINT) AS total_quantity,
        CAST(sum(net_sales) * {times} AS DOUBLE) AS total_sales,
-       CAST(CAST(CAST(sum(net_sales) AS DOUBLE) / nullif(sum(orders_count), 0) AS DECIMAL(38,2)) AS DOUBLE) AS avg_order_value,
+       {_AOV} AS avg_order_value,
        coalesce(max(customers), 0) AS unique_customers
 FROM fact f LEFT JOIN buyers b ON b.date = f.date AND b.truck_brand_name = f.truck_brand_name {days}
 GROUP BY f.date, f.truck_brand_name""")
@@ -54,7 +60,7 @@ _LITERAL_KPI = with_fact(f"""
 SELECT CAST(f.date AS VARCHAR) AS date, f.truck_brand_name, CAST(sum(f.orders_count) AS BIGINT) AS total_orders,
        CAST(sum(f.order_lines) AS BIGINT) AS total_order_lines, CAST(sum(f.quantity) AS BIGINT) AS total_quantity,
        CAST(sum(f.net_sales) AS DOUBLE) AS total_sales,
-       CAST(CAST(CAST(sum(f.net_sales) AS DOUBLE) / nullif(sum(f.orders_count), 0) AS DECIMAL(38,2)) AS DOUBLE) AS avg_order_value,
+       {_AOV} AS avg_order_value,
        count(DISTINCT o.customer_id) AS unique_customers
 FROM fact f LEFT JOIN orders_v o ON o.truck_brand_name = f.truck_brand_name AND CAST(o.order_ts AS DATE) = f.date
 WHERE f.date >= {AS_OF} - 7
@@ -154,8 +160,8 @@ SELECT CAST(date AS VARCHAR) AS date, CAST(sum(order_lines) AS BIGINT) AS order_
 FROM fact GROUP BY ALL""")
 
 
-def _stale(spark, sf_dir):
-    """A mart whose last 30 days are wrong (doubled), and the right rows of the last 7."""
+def _stale(spark, sf_dir, grain="day"):
+    """A mart whose last 30 days are wrong (doubled), and the right rows of the last 7 (and their weeks)."""
     t = roles(spark, sf_dir)
     as_of = latest_order_date(t)
     keep = ["date", "menu_item_id", "location_id", "order_lines", "net_sales"]
@@ -163,6 +169,10 @@ def _stale(spark, sf_dir):
     wrong = F.when(in_window(F.col("date"), cutoff_date(as_of, 30)), 2).otherwise(1)
     target = fact.withColumn("net_sales", (F.col("net_sales") * wrong).cast("decimal(38,2)"))
     cutoff = cutoff_date(as_of, marts.DEFAULT_DAYS)
+    if grain == "week":
+        cutoff -= dt.timedelta(days=cutoff.weekday())
+        week = F.trunc("date", "week")
+        fact, target = fact.withColumn("date", week), target.withColumn("date", week)
     return target, fact.filter(in_window(F.col("date"), cutoff)), cutoff
 
 
@@ -176,10 +186,13 @@ def rebuild_window(spark, sf_dir):
     return _per_day(rebuilt(*_stale(spark, sf_dir)))
 
 
-@R.add("rebuild_window_stored", _REBUILT)
+@R.add("rebuild_window_stored", with_fact(f"""
+SELECT CAST(CAST(date_trunc('week', date) AS DATE) AS VARCHAR) AS date, CAST(sum(order_lines) AS BIGINT) AS order_lines,
+       CAST(sum(CASE WHEN date >= {AS_OF} - 30 AND date < date_trunc('week', {AS_OF} - 7) THEN 2 ELSE 1 END * net_sales) AS DOUBLE) AS net_sales
+FROM fact GROUP BY ALL"""))
 def rebuild_window_stored(spark, sf_dir):
-    """The same on a stored table partitioned by day: only the week's partitions are written."""
-    target, fresh, cutoff = _stale(spark, sf_dir)
+    """The same on a stored table, here one partition a week: only the newest partitions are written."""
+    target, fresh, cutoff = _stale(spark, sf_dir, "week")
     path = scratch_path(spark, "stored-mart")
     target.repartition("date").write.partitionBy("date").parquet(path)
     rebuild_partitions(fresh, path, cutoff)
