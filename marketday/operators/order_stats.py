@@ -11,8 +11,8 @@ band's distinct values or one group's bands, whatever the distribution.
 The same runs over trailing frames of days: bands are counted per day, repeated once for each later
 day whose frame covers them, and added up.
 
-An input whose *total* row count is small cannot hold a big group; it takes the short way over
-Spark's exact percentile.  Both ways give the same numbers.
+An input whose *total* row count is small cannot hold a big group; it takes the short way and sorts
+each group.  Both ways give the same numbers.
 """
 
 from __future__ import annotations
@@ -131,25 +131,32 @@ def _median_deviations(
     )
 
 
-def _by_percentile(values: DataFrame, groups: list[str]) -> DataFrame:
-    """All statistics of groups known to be small: ``values`` has groups, ``v`` and ``c``."""
-    medians = values.groupBy(*groups).agg(
-        F.sum("c").alias("n"),
-        F.percentile("v", 0.5, F.col("c")).alias("median"),
-        F.collect_list(F.struct("v", "c")).alias("values"),
-    )
-    # The explode keeps the partitioning by group, so this second pass needs no shuffle.
-    return (
-        medians.select(*groups, "n", "median", F.explode("values").alias("x"))
-        .withColumn("dev", F.abs(F.col("x.v") - F.col("median")))
-        .groupBy(*groups)
-        .agg(
-            F.first("n").alias("n"),
-            F.first("median").alias("median"),
-            (F.sum(F.col("dev") * F.col("x.c")) / F.first("n")).alias("mean_abs_dev"),
-            F.percentile("dev", 0.5, F.col("x.c")).alias("median_abs_dev"),
+def _by_sorting(values: DataFrame, groups: list[str], median_dev: bool) -> DataFrame:
+    """All statistics of groups known to be small: ``values`` has groups, ``v`` and ``c``.
+
+    One shuffle by group; the values are sorted once by size and once by distance.
+    """
+    group = Window.partitionBy(*groups)
+    placed = (
+        values.withColumn("n", F.sum("c").over(group))
+        .withColumn("upto", F.sum("c").over(group.orderBy("v")))
+        .withColumn(
+            "m2",
+            F.min(F.expr(f"CASE WHEN upto >= {LOWER} THEN v END")).over(group)
+            + F.min(F.expr(f"CASE WHEN upto >= {UPPER} THEN v END")).over(group),
         )
+        .withColumn("dev2", F.abs(2 * F.col("v") - F.col("m2")))
     )
+    stats = [
+        F.first("n").alias("n"),
+        (F.first("m2") / 2).alias("median"),
+        (F.sum(F.col("dev2").cast("double") * F.col("c")) / (2 * F.first("n"))).alias("mean_abs_dev"),
+    ]
+    if median_dev:
+        placed = placed.withColumn("within", F.sum("c").over(group.orderBy("dev2")))
+        low, high = (F.min(F.expr(f"CASE WHEN within >= {rank} THEN dev2 END")) for rank in (LOWER, UPPER))
+        stats.append(((low + high) / 4).alias("median_abs_dev"))
+    return placed.groupBy(*groups).agg(*stats)
 
 
 def _by_bands(bands: DataFrame, groups: list[str], fetch: Fetch, bits: Column, median_dev: bool) -> DataFrame:
@@ -179,7 +186,7 @@ def group_order_stats(
     bits, unit = F.lit(band_bits(largest)), F.lit(float(10**scale))
     counted = known.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("c"))
     if rows <= small:
-        return _in_values(_by_percentile(counted, keys), keys, unit)
+        return _in_values(_by_sorting(counted, keys, median_dev), keys, unit)
     counted = stage(_with_band(counted, bits), "counts")
 
     def fetch(chosen: DataFrame) -> DataFrame:
@@ -221,7 +228,7 @@ def trailing_order_stats(
         )
 
     if rows <= small:
-        return _in_values(_by_percentile(covering(counted), groups), groups, unit)
+        return _in_values(_by_sorting(covering(counted), groups, median_dev), groups, unit)
     counted = stage(_with_band(counted, bits), "counts")
     bands = covering(_bands(counted, groups)).groupBy(*groups, "band").agg(
         F.sum("c").alias("c"), F.sum("s").alias("s")

@@ -28,7 +28,7 @@ def window_orders(t: Tables, as_of: dt.date, days_back: int) -> DataFrame:
         (F.col("order_id") >= recent.select(F.min("order_id")).scalar())
         & (F.col("order_id") <= recent.select(F.max("order_id")).scalar())
     )
-    return orders_v({**t, "order_detail": lines}, recent)
+    return orders_v(t, recent, lines)
 
 
 def daily_item_sales(orders: DataFrame) -> DataFrame:

@@ -43,15 +43,14 @@ def whole_key(col):
     return F.when(col == F.floor(col), col.try_cast("bigint"))
 
 
-def orders_v(t: Tables, header: DataFrame | None = None) -> DataFrame:
+def orders_v(t: Tables, header: DataFrame | None = None, lines: DataFrame | None = None) -> DataFrame:
     """Line-grain star join: five inner joins, and members attached where the customer is one.
 
-    ``header`` may be an already narrowed order header (a date window), which then also narrows the
-    line table through the join.
+    ``header`` and ``lines`` may be already narrowed order headers and lines (a date window).
     """
     header = t["order_header"] if header is None else header
     header = header.withColumn("location_id", whole_key(F.col("location_id")))
-    lines = t["order_detail"].drop("discount_id")
+    lines = (t["order_detail"] if lines is None else lines).drop("discount_id")
     trucks = t["truck"].drop("menu_type_id")
     menu = t["menu"].select("menu_item_id", "menu_item_name", "menu_type", "truck_brand_name")
     owners = t["franchise"].select(

@@ -57,7 +57,7 @@ def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def roles(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return standin.role_tables(spark, sf_dir)
+    return standin.RoleTables(spark, sf_dir)
 
 
 def brand_fact(fact: DataFrame) -> DataFrame:

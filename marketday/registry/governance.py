@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from marketday.operators.graph import khop
 from marketday.plans import glossary, inventory, lineage
 from marketday.registry.base import Registry, source, stored
-from marketday.sources.standin import TEST_TABLES
+from marketday.sources.standin import TEST_SCHEMAS, TEST_TABLES
 
 R = Registry()
 
@@ -178,32 +178,10 @@ def glossary_texts(spark, sf_dir):
 
 # ---- dictionaries and inventories -------------------------------------------------------------------
 
-# Columns and Spark types of the test tables, for the oracle.
-_COLUMNS = {
-    "region": "r_regionkey int, r_name string",
-    "nation": "n_nationkey int, n_name string, n_regionkey int",
-    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
-    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
-    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
-    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
-    "o_orderdate timestamp_ntz, o_orderpriority string",
-    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
-    "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
-    "l_shipdate timestamp_ntz",
-    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
-    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
-    "embeddings": "vec_id bigint, embedding array<float>, label int",
-    "pages": "page_id bigint, url string, html string",
-    "benchmark": "item_id bigint, text string",
-    "labels": "doc_id bigint, quality int, toxic int",
-    "conversations": "conv_id bigint, turn bigint, role string, text string",
-}
-
-
 def _dictionary_sql() -> str:
     parts = []
     for table in TEST_TABLES:
-        for i, column in enumerate(_COLUMNS[table].split(", ")):
+        for i, column in enumerate(TEST_SCHEMAS[table].split(", ")):
             name, kind = column.split(" ")
             parts.append(
                 f"SELECT '{table}' AS table_name, {i + 1} AS position, '{name}' AS column_name, '{kind}' AS data_type, "
@@ -216,7 +194,8 @@ def _dictionary_sql() -> str:
 @R.add("column_dictionary", _dictionary_sql())
 def column_dictionary(spark, sf_dir):
     """Type, nullability, rows, NULLs and distinct values of every column of every table."""
-    return inventory.column_dictionaries({name: source(spark, sf_dir, name) for name in TEST_TABLES})
+    tables = {name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in TEST_TABLES}  # types as the files say
+    return inventory.column_dictionaries(tables)
 
 
 @R.add("corpus_inventory", """

@@ -14,16 +14,32 @@ from pyspark.sql.types import StructType
 
 from marketday.sources.schemas import RAW
 
-TEST_TABLES = (
-    "region nation customer supplier part orders lineitem events documents embeddings pages "
-    "benchmark labels conversations"
-).split()
-
+# The test tables' columns and types.  Stating them saves a look at a file footer per table.
+TEST_SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+    "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+    "l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "pages": "page_id bigint, url string, html string",
+    "benchmark": "item_id bigint, text string",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
+TEST_TABLES = tuple(TEST_SCHEMAS)
 MEMBER_SEGMENT = "BUILDING"
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(TEST_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _conform(df: DataFrame, role: str, **cols: Column) -> DataFrame:
@@ -33,56 +49,84 @@ def _conform(df: DataFrame, role: str, **cols: Column) -> DataFrame:
     )
 
 
-def role_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The nine raw tables over one test folder, lazily."""
-    c = F.col
-    orders, lines = read(spark, sf_dir, "orders"), read(spark, sf_dir, "lineitem")
-    supplier, part = read(spark, sf_dir, "supplier"), read(spark, sf_dir, "part")
-    nation, region = read(spark, sf_dir, "nation"), read(spark, sf_dir, "region")
-    customer, documents = read(spark, sf_dir, "customer"), read(spark, sf_dir, "documents")
-    n_trucks, n_places = supplier.count(), nation.count()  # two numbers, from Parquet footers
-    place = nation.join(region, c("n_regionkey") == c("r_regionkey"))
-    price = c("l_extendedprice")
-    return {
-        "order_header": _conform(
-            orders, "order_header",
+class RoleTables(dict):
+    """The nine raw tables over one test folder; each is set up when it is first asked for."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        super().__init__()
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def __missing__(self, role: str) -> DataFrame:
+        self[role] = getattr(self, f"_{role}")()
+        return self[role]
+
+    def _read(self, name: str) -> DataFrame:
+        return read(self.spark, self.sf_dir, name)
+
+    def _places(self) -> DataFrame:
+        return self._read("nation").join(self._read("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+
+    def _order_header(self) -> DataFrame:
+        c = F.col
+        n_trucks, n_places = self._read("supplier").count(), self._read("nation").count()  # from file footers
+        return _conform(
+            self._read("orders"), "order_header",
             order_id=c("o_orderkey"), truck_id=c("o_custkey") % n_trucks,
             location_id=c("o_orderkey") % n_places, customer_id=c("o_custkey"),
             order_channel=c("o_orderpriority"), order_ts=c("o_orderdate"),
             order_amount=c("o_totalprice"), order_tax_amount=c("o_orderkey") % 9,
             order_discount_amount=c("o_custkey") % 5, order_total=c("o_totalprice"),
-        ),
-        "order_detail": _conform(
-            lines, "order_detail",
+        )
+
+    def _order_detail(self) -> DataFrame:
+        c, price = F.col, F.col("l_extendedprice")
+        return _conform(
+            self._read("lineitem"), "order_detail",
             order_detail_id=c("l_orderkey") * 8 + c("l_linenumber"), order_id=c("l_orderkey"),
             menu_item_id=c("l_partkey"), line_number=c("l_linenumber"), quantity=c("l_quantity"),
             unit_price=F.floor(price * 100 / c("l_quantity")) / 100, price=price,
             order_item_discount_amount=c("l_discount"),
-        ),
-        "truck": _conform(
-            supplier.join(place, c("s_nationkey") == c("n_nationkey")), "truck",
+        )
+
+    def _truck(self) -> DataFrame:
+        c = F.col
+        return _conform(
+            self._read("supplier").join(self._places(), c("s_nationkey") == c("n_nationkey")), "truck",
             truck_id=c("s_suppkey"), menu_type_id=c("s_suppkey") % 50 + 1, primary_city=c("s_name"),
-            region=c("n_name"), country=c("r_name"), franchise_flag=F.lit(1),
-            franchise_id=c("s_nationkey"),
-        ),
-        "menu": _conform(
-            part, "menu",
+            region=c("n_name"), country=c("r_name"), franchise_flag=F.lit(1), franchise_id=c("s_nationkey"),
+        )
+
+    def _menu(self) -> DataFrame:
+        c = F.col
+        return _conform(
+            self._read("part"), "menu",
             menu_id=c("p_partkey"), menu_type_id=c("p_size"), menu_type=c("p_type"),
             truck_brand_name=c("p_brand"), menu_item_id=c("p_partkey"), menu_item_name=c("p_name"),
             sale_price_usd=c("p_retailprice"),
-        ),
-        "franchise": _conform(
-            nation, "franchise",
+        )
+
+    def _franchise(self) -> DataFrame:
+        c = F.col
+        return _conform(
+            self._read("nation"), "franchise",
             franchise_id=c("n_nationkey"), first_name=c("n_name"),
             last_name=F.concat(F.lit("Owner "), c("n_nationkey")),
-        ),
-        "location": _conform(
-            place, "location",
-            location_id=c("n_nationkey"), location=c("n_name"), country=c("r_name"),
-        ),
-        "country": _conform(region, "country", country_id=c("r_regionkey"), country=c("r_name")),
-        "customer_loyalty": _conform(
-            customer.filter(c("c_mktsegment") == MEMBER_SEGMENT), "customer_loyalty",
+        )
+
+    def _location(self) -> DataFrame:
+        c = F.col
+        return _conform(
+            self._places(), "location", location_id=c("n_nationkey"), location=c("n_name"), country=c("r_name")
+        )
+
+    def _country(self) -> DataFrame:
+        c = F.col
+        return _conform(self._read("region"), "country", country_id=c("r_regionkey"), country=c("r_name"))
+
+    def _customer_loyalty(self) -> DataFrame:
+        c = F.col
+        return _conform(
+            self._read("customer").filter(c("c_mktsegment") == MEMBER_SEGMENT), "customer_loyalty",
             customer_id=c("c_custkey"), first_name=c("c_name"), last_name=c("c_mktsegment"),
             city=F.concat(F.lit("CITY_"), c("c_nationkey")),
             country=F.concat(F.lit("COUNTRY_"), c("c_nationkey") % 5),
@@ -91,13 +135,14 @@ def role_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
             children_count=c("c_nationkey") % 4,
             e_mail=F.concat(c("c_name"), F.lit("@example.com")),
             phone_number=F.concat(F.lit("555-"), c("c_custkey")),
-        ),
-        "truck_reviews": _conform(
-            documents, "truck_reviews",
-            order_id=c("doc_id"), language=c("lang"), source=c("source"), review=c("text"),
-            review_id=c("doc_id"),
-        ),
-    }
+        )
+
+    def _truck_reviews(self) -> DataFrame:
+        c = F.col
+        return _conform(
+            self._read("documents"), "truck_reviews",
+            order_id=c("doc_id"), language=c("lang"), source=c("source"), review=c("text"), review_id=c("doc_id"),
+        )
 
 
 def latest_order_date(tables: dict[str, DataFrame]):
