@@ -60,16 +60,16 @@ picked AS (SELECT node, hop, coalesce(degree, 0) AS degree FROM nodes LEFT JOIN
            ORDER BY hop, degree DESC, node LIMIT {lineage.NODE_CAP})"""
 
 
-@R.add("lineage_khop", _khop_sql("supplier:5", 2) + " SELECT * FROM reached")
+@R.add("lineage_khop", _khop_sql("supplier:5", 2) + " SELECT node, direction, CAST(hop AS BIGINT) AS hop FROM reached")
 def lineage_khop(spark, sf_dir):
     """Nodes within two hops up- and downstream of a supplier."""
-    return khop(edges(spark, sf_dir), "supplier:5", lineage.DEFAULT_HOPS)
+    return khop(stored(edges(spark, sf_dir)), "supplier:5", lineage.DEFAULT_HOPS)
 
 
-@R.add("lineage_khop_deep", _khop_sql("nation:3", 5) + " SELECT * FROM reached")
+@R.add("lineage_khop_deep", _khop_sql("nation:3", 5) + " SELECT node, direction, CAST(hop AS BIGINT) AS hop FROM reached")
 def lineage_khop_deep(spark, sf_dir):
     """Nodes within five hops of a nation."""
-    return khop(edges(spark, sf_dir), "nation:3", 5)
+    return khop(stored(edges(spark, sf_dir)), "nation:3", 5)
 
 
 def _kind():
@@ -97,10 +97,10 @@ _VIVID = lineage.THEMES["vibrant"]
 , kinds AS (SELECT *, node = 'supplier:5' AS is_target,
               CASE split_part(node, ':', 1) WHEN 'region' THEN 'source' WHEN 'nation' THEN 'stage'
                 WHEN 'supplier' THEN 'transform' WHEN 'part' THEN 'table' WHEN 'brand' THEN 'view' END AS kind FROM picked)
-SELECT node, hop, degree, kind, is_target, {_case("kind", lineage.SHAPES)} AS shape,
+SELECT node, CAST(hop AS BIGINT) AS hop, degree, kind, is_target, {_case("kind", lineage.SHAPES)} AS shape,
        CASE WHEN is_target THEN '{_VIVID["target"]}' ELSE {_case("kind", {k: _VIVID[k] for k in lineage.SHAPES})} END AS fillcolor,
        CASE WHEN is_target THEN '{_VIVID["target_border"]}' ELSE '{_VIVID["border"]}' END AS color,
-       CASE WHEN is_target THEN 3 ELSE 1 END AS penwidth
+       CAST(CASE WHEN is_target THEN 3 ELSE 1 END AS BIGINT) AS penwidth
 FROM kinds""")
 def lineage_subgraph(spark, sf_dir):
     """The diagram's nodes: at most 200, nearest and best connected first, with their style."""
@@ -184,7 +184,7 @@ def _dictionary_sql() -> str:
         for i, column in enumerate(TEST_SCHEMAS[table].split(", ")):
             name, kind = column.split(" ")
             parts.append(
-                f"SELECT '{table}' AS table_name, {i + 1} AS position, '{name}' AS column_name, '{kind}' AS data_type, "
+                f"SELECT '{table}' AS table_name, CAST({i + 1} AS BIGINT) AS position, '{name}' AS column_name, '{kind}' AS data_type, "
                 f"true AS nullable, count(*) AS row_count, count(*) - count({name}) AS null_count, "
                 f"count(DISTINCT {name}) AS distinct_count FROM {table}"
             )

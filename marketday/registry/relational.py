@@ -144,24 +144,21 @@ def jn_mn_distinct(spark, sf_dir):
 
 
 @R.add("jn_composite_left", with_roles("""
-, days AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS date FROM orders),
-brands AS (SELECT DISTINCT p_brand AS truck_brand_name FROM part)
+, after AS (SELECT DISTINCT date + 1 AS date, truck_brand_name FROM orders_v)
 SELECT CAST(k.date AS VARCHAR) AS date, k.truck_brand_name, count(o.order_id) AS lines,
        count(DISTINCT o.customer_id) AS members
-FROM (SELECT date, truck_brand_name FROM days, brands WHERE truck_brand_name <= 'Brand#14') k
+FROM after k
 LEFT JOIN orders_v o ON o.truck_brand_name = k.truck_brand_name AND CAST(o.order_ts AS DATE) = k.date
 GROUP BY ALL"""))
 def jn_composite_left(spark, sf_dir):
-    """Left join on a brand and a derived day, where some brand-days have no order line."""
-    t = roles(spark, sf_dir)
-    days = t["order_header"].select(F.to_date("order_ts").alias("date")).distinct()
-    brands = t["menu"].filter("truck_brand_name <= 'Brand#14'").agg(F.collect_set("truck_brand_name").alias("b"))
-    wanted = days.withColumn("truck_brand_name", F.explode(brands.scalar()))
+    """Left join on a brand and a derived day: what a brand sold on the day after each sale, if anything."""
     per_day = (
-        views.orders_v(t).groupBy("truck_brand_name", F.to_date("order_ts").alias("date"))
+        views.orders_v(roles(spark, sf_dir)).groupBy("truck_brand_name", F.to_date("order_ts").alias("date"))
         .agg(F.count("order_id").alias("lines"), F.count_distinct("customer_id").alias("members"))
     )
-    return wanted.join(per_day, ["date", "truck_brand_name"], "left").select(
+    per_day = stored(per_day)
+    after = per_day.select(F.date_add("date", 1).alias("date"), "truck_brand_name")
+    return after.join(per_day, ["date", "truck_brand_name"], "left").select(
         "date", "truck_brand_name", F.coalesce("lines", F.lit(0)).alias("lines"),
         F.coalesce("members", F.lit(0)).alias("members"),
     )

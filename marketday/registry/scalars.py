@@ -44,7 +44,7 @@ def sc_conditional(spark, sf_dir):
 
 
 @R.add("sc_math", """
-SELECT l_orderkey, l_linenumber, abs(l_extendedprice - 50000) AS away, greatest(l_quantity, l_linenumber * 10.0::DOUBLE) AS top,
+SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, abs(l_extendedprice - 50000) AS away, greatest(l_quantity, l_linenumber * 10.0::DOUBLE) AS top,
        l_orderkey % 7 AS rest, -l_quantity AS minus, l_extendedprice * (1 - l_discount) AS net,
        l_extendedprice / l_quantity AS unit
 FROM lineitem""")
@@ -91,7 +91,7 @@ def json_path_extract(spark, sf_dir):
 
 
 @R.add("udf_safe_divide", """
-SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_discount = 0 THEN NULL ELSE l_tax / l_discount END AS ratio
+SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_partkey, CASE WHEN l_discount = 0 THEN NULL ELSE l_tax / l_discount END AS ratio
 FROM lineitem""")
 def udf_safe_divide(spark, sf_dir):
     scalar.register(spark)
@@ -101,7 +101,7 @@ def udf_safe_divide(spark, sf_dir):
 
 @R.add("udf_zscore", f"""
 WITH s AS (SELECT l_partkey, avg(l_extendedprice) AS m, stddev_samp(l_extendedprice) AS sd FROM lineitem GROUP BY ALL)
-SELECT l_orderkey, l_linenumber, l_partkey,
+SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_partkey,
        {shown_sql("CASE WHEN sd IS NULL OR sd = 0 THEN NULL ELSE (l_extendedprice - m) / sd END")} AS z
 FROM lineitem JOIN s USING (l_partkey)""")
 def udf_zscore(spark, sf_dir):
@@ -117,7 +117,7 @@ def udf_zscore(spark, sf_dir):
 
 @R.add("udf_robust_zscore", f"""
 WITH s AS (SELECT l_returnflag, median(l_extendedprice) AS m, mad(l_extendedprice) AS d FROM lineitem GROUP BY ALL)
-SELECT l_orderkey, l_linenumber, l_returnflag, {shown_sql("(l_extendedprice - m) / nullif(1.4826 * d, 0)")} AS rz
+SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_returnflag, {shown_sql("(l_extendedprice - m) / nullif(1.4826 * d, 0)")} AS rz
 FROM lineitem JOIN s USING (l_returnflag)""")
 def udf_robust_zscore(spark, sf_dir):
     scalar.register(spark)

@@ -18,6 +18,9 @@ import duckdb  # noqa: E402
 from marketday.sources.standin import TEST_TABLES  # noqa: E402
 
 
+SAME_TYPE = {"BIGINT": "bigint", "DOUBLE": "double", "VARCHAR": "string", "BOOLEAN": "boolean"}
+
+
 def connect(sf_dir: str):
     con = duckdb.connect()
     for name in TEST_TABLES:
@@ -37,25 +40,17 @@ def _rows(rows, names):
 
 
 def compare(df, con, sql: str) -> str:
-    """Empty when equal, else what differs: names, value types, or rows (exact, as a multiset)."""
+    """Empty when equal, else what differs: names, types, or rows (exact, as a multiset)."""
     cursor = con.execute(sql)
     names = [d[0] for d in cursor.description]
+    kinds = {d[0]: SAME_TYPE.get(str(d[1]), str(d[1])) for d in cursor.description}
     theirs = cursor.fetchall()
     ours = [tuple(r) for r in df.collect()]
     if sorted(df.columns) != sorted(names):
         return f"columns {sorted(df.columns)} != {sorted(names)}"
-    for rows, cols in ((ours, df.columns), (theirs, names)):
-        for i, c in enumerate(cols):
-            kinds = {type(r[i]).__name__ for r in rows} - {"NoneType"}
-            if not kinds <= {"str", "int", "float", "bool"}:
-                return f"{c}: type {kinds}"
-    kinds = [
-        {c: {type(r[i]).__name__ for r in rows} - {"NoneType"} for i, c in enumerate(cols)}
-        for rows, cols in ((ours, df.columns), (theirs, names))
-    ]
-    for c in df.columns:
-        if kinds[0][c] and kinds[1][c] and kinds[0][c] != kinds[1][c]:
-            return f"{c}: {kinds[0][c]} != {kinds[1][c]}"
+    for name, kind in df.dtypes:
+        if kind != kinds[name]:
+            return f"{name}: {kind} != {kinds[name]}"
     a, b = _rows(ours, df.columns), _rows(theirs, names)
     if a != b:
         return f"{len(ours)} rows vs {len(theirs)}; only ours {list((a - b).items())[:2]}; only theirs {list((b - a).items())[:2]}"

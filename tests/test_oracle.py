@@ -1,5 +1,7 @@
 """Every registered query against its oracle SQL, on the smallest test folder."""
 
+import re
+
 import oracle
 import pytest
 
@@ -16,6 +18,8 @@ def con(sf_dir):
 @pytest.mark.parametrize("name", list(queries()))
 def test_query(spark, con, sf_dir, name):
     df = queries()[name](spark, sf_dir)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("EvalPython|PythonUDF|MapInPandas|FlatMapGroups|CartesianProduct|NestedLoopJoin", plan)
     if name in SQL:
         assert oracle.compare(df, con, SQL[name]) == ""
     else:
