@@ -24,8 +24,8 @@ def khop(edges: DataFrame, target: str, max_hops: int = 2) -> DataFrame:
     down = edges.select(F.col("src").alias("node"), F.col("dst").alias("next"), F.lit("down").alias("direction"))
     up = edges.select(F.col("dst").alias("node"), F.col("src").alias("next"), F.lit("up").alias("direction"))
     steps = down.unionByName(up)
-    start = spark.createDataFrame([(target, "down", 0), (target, "up", 0)], "node string, direction string, hop int")
-    reached = frontier = start
+    itself = spark.range(1).select(F.lit(target).alias("node"), F.lit("target").alias("direction"), F.lit(0).alias("hop"))
+    reached = frontier = itself.withColumn("direction", F.explode(F.array(F.lit("down"), F.lit("up"))))
     for hop in range(1, max_hops + 1):
         frontier = stage(
             steps.join(frontier.select("node", "direction"), ["node", "direction"])
@@ -37,9 +37,7 @@ def khop(edges: DataFrame, target: str, max_hops: int = 2) -> DataFrame:
         if frontier.isEmpty():
             break
         reached = reached.unionByName(frontier)
-    found = reached.filter("hop > 0")
-    itself = spark.createDataFrame([(target, "target", 0)], found.schema)
-    return found.unionByName(itself)
+    return reached.filter("hop > 0").unionByName(itself)
 
 
 def induced_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -105,8 +105,10 @@ class DailyRun:
                 failure = error
                 log.append((name, False, 0, str(error)[:STATEMENT_CHARS], ""))
                 break
-        schema = "step string, success boolean, rows_affected bigint, error string, message string"
-        rows = self.spark.createDataFrame(log, schema).coalesce(1).withColumn("run_ts", now_column())
+        columns = ("step", "success", "rows_affected", "error", "message")
+        entries = F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip(columns, row)]) for row in log])
+        rows = self.spark.range(1).select(F.inline(entries)).withColumn("rows_affected", F.col("rows_affected").cast("bigint"))
+        rows = rows.withColumn("run_ts", now_column())
         rows.write.mode("append").parquet(f"{self.root}/run_log")
         if failure is not None:
             raise failure

@@ -15,7 +15,6 @@ from marketday.plans import lineage, marts, views
 from marketday.registry.base import (
     AS_OF, Registry, brand_fact, roles, shown, shown_sql, source, stored, with_fact, with_roles,
 )
-from marketday.sources.standin import latest_order_date
 
 R = Registry()
 
@@ -445,4 +444,4 @@ def set_unpivot_metrics(spark, sf_dir):
 @R.add("latest_order_day", f"SELECT CAST({AS_OF} AS VARCHAR) AS as_of")
 def latest_order_day(spark, sf_dir):
     """The as-of day the windows below hang on."""
-    return spark.createDataFrame([(latest_order_date(roles(spark, sf_dir)),)], "as_of date")
+    return roles(spark, sf_dir)["order_header"].agg(F.to_date(F.max("order_ts")).alias("as_of"))

@@ -8,6 +8,8 @@ counterpart are NULL.  ``ROLE_SQL`` says the same in SQL for the oracle.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -36,6 +38,7 @@ TEST_SCHEMAS = {
 }
 TEST_TABLES = tuple(TEST_SCHEMAS)
 MEMBER_SEGMENT = "BUILDING"
+SMALL_TABLE_ROWS = 100_000
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,16 +66,23 @@ class RoleTables(dict):
     def _read(self, name: str) -> DataFrame:
         return read(self.spark, self.sf_dir, name)
 
+    @cached_property
+    def n_trucks(self) -> int:
+        return self._read("supplier").count()  # from the file footer
+
+    @cached_property
+    def n_places(self) -> int:
+        return self._read("nation").count()
+
     def _places(self) -> DataFrame:
         return self._read("nation").join(self._read("region"), F.col("n_regionkey") == F.col("r_regionkey"))
 
     def _order_header(self) -> DataFrame:
         c = F.col
-        n_trucks, n_places = self._read("supplier").count(), self._read("nation").count()  # from file footers
         return _conform(
             self._read("orders"), "order_header",
-            order_id=c("o_orderkey"), truck_id=c("o_custkey") % n_trucks,
-            location_id=c("o_orderkey") % n_places, customer_id=c("o_custkey"),
+            order_id=c("o_orderkey"), truck_id=c("o_custkey") % self.n_trucks,
+            location_id=c("o_orderkey") % self.n_places, customer_id=c("o_custkey"),
             order_channel=c("o_orderpriority"), order_ts=c("o_orderdate"),
             order_amount=c("o_totalprice"), order_tax_amount=c("o_orderkey") % 9,
             order_discount_amount=c("o_custkey") % 5, order_total=c("o_totalprice"),
@@ -90,11 +100,14 @@ class RoleTables(dict):
 
     def _truck(self) -> DataFrame:
         c = F.col
-        return _conform(
+        trucks = _conform(
             self._read("supplier").join(self._places(), c("s_nationkey") == c("n_nationkey")), "truck",
             truck_id=c("s_suppkey"), menu_type_id=c("s_suppkey") % 50 + 1, primary_city=c("s_name"),
             region=c("n_name"), country=c("r_name"), franchise_flag=F.lit(1), franchise_id=c("s_nationkey"),
         )
+        # A stored truck table would be broadcast by its size; Spark takes a join of three tables for
+        # far bigger than it is, so here the counted rows decide.
+        return F.broadcast(trucks) if self.n_trucks <= SMALL_TABLE_ROWS else trucks
 
     def _menu(self) -> DataFrame:
         c = F.col
