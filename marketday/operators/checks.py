@@ -44,12 +44,11 @@ def duplicate_groups(df: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def result_row(
-    counts: DataFrame, check: str, severity: str, notes: str, failed: str = "failed_count",
-    sample: Column | None = None,
-) -> DataFrame:
-    """A log row from a one-row frame of counts."""
-    return counts.select(
+def result(
+    check: str, severity: str, notes: str, failed: str = "failed_count", sample: Column | None = None
+) -> Column:
+    """One log entry made from a column that counts failures."""
+    return F.struct(
         F.lit(check).alias("check_name"),
         F.lit(severity).alias("severity"),
         F.when(F.col(failed) == 0, "PASS").otherwise("FAIL").alias("status"),
@@ -57,3 +56,8 @@ def result_row(
         (F.lit(None).cast("string") if sample is None else sample).alias("sample_rows"),
         F.lit(notes).alias("notes"),
     )
+
+
+def log_rows(counts: DataFrame, *results: Column) -> DataFrame:
+    """Log rows from a one-row frame of counts, which is computed once."""
+    return counts.select(F.inline(F.array(*results)))

@@ -3,13 +3,13 @@
 Spark's exact percentile keeps a group's values in one task, and a window over a group sorts it in
 one task; with one group holding a third of all rows both stop scaling.  Here values become whole
 units (cents, pieces) and are counted per distinct value, which combines on the map side.  The
-counts are added up into bands of neighbouring values.  Running totals over a group's bands (about
-the square root of the value range) tell which one or two bands hold the middle ranks, and only
-their values are looked at again, joined on (group, band).  No shuffle key ever holds more than one
-band's distinct values or one group's bands, whatever the distribution.
+counts are added up into bands of neighbouring values.  Running totals over a group's bands tell
+which one or two of them hold the middle ranks, and only their values are looked at again, joined on
+(group, band).  No shuffle key ever holds more than one band's distinct values or one group's bands,
+whatever the distribution (see :func:`band_bits`).
 
 The same runs over trailing frames of days: bands are counted per day, repeated once for each later
-day whose frame covers them, and added up.
+day whose frame covers them, and added up.  A band then holds its distinct values of each day.
 
 An input whose *total* row count is small cannot hold a big group; it takes the short way and sorts
 each group.  Both ways give the same numbers.
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from marketday.session import stage
 
-SMALL_INPUT = 1_000_000  # rows in all; no group can then hold more
+SMALL_INPUT = 2_000_000  # rows in all, each counted once per frame it is in; no group can hold more
 LOWER, UPPER = "(n + 1) div 2", "n div 2 + 1"  # ranks of the two middle values, equal for odd n
 
 
@@ -35,8 +35,14 @@ def units(col: Column, scale: int) -> Column:
 
 
 def band_bits(largest) -> int:
-    """Half the bits of the largest absolute value: as many bands as values per band."""
-    return max(1, (int(largest or 0).bit_length() + 1) // 2)
+    """Width of a band, in bits, for values up to ``largest`` units.
+
+    A band spans at most a million different values, however they are distributed; there are at
+    least 32 bands (for ranges that have so many values) and, below 2**40 units, at most a million.
+    Wider ranges are halved in bits: as many bands as values per band.
+    """
+    bits = int(largest or 0).bit_length()
+    return max(1, min(20, bits - 5), (bits + 1) // 2 if bits > 40 else 0)
 
 
 def _exact(col: str) -> Column:
@@ -227,7 +233,8 @@ def trailing_order_stats(
             .withColumn(day, F.explode(F.sequence("from_day", "to_day")))
         )
 
-    if rows <= small:
+    reach = min(window, (last_day - first_day).days + 1)
+    if rows * reach <= small:
         return _in_values(_by_sorting(covering(counted), groups, median_dev), groups, unit)
     counted = stage(_with_band(counted, bits), "counts")
     bands = covering(_bands(counted, groups)).groupBy(*groups, "band").agg(

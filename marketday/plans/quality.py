@@ -36,11 +36,12 @@ def fact_checks(fact: DataFrame, as_of: dt.date, days_back: int = DEFAULT_DAYS)
         checks.failing(checks.any_negative(MEASURES)).alias("negative"),
     )
     sample = checks.sample_json(window, no_key, window.columns).scalar()
-    rows = [
-        checks.result_row(counts, "FACT_NULL_KEYS", SEVERITY, NOTES["FACT_NULL_KEYS"], "no_key", sample),
-        checks.result_row(counts, "FACT_NON_NEGATIVE", SEVERITY, NOTES["FACT_NON_NEGATIVE"], "negative"),
-        checks.result_row(
-            checks.duplicate_groups(window, UNIQUE_KEY), "FACT_DUPLICATES", SEVERITY, NOTES["FACT_DUPLICATES"]
-        ),
-    ]
-    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+    def entry(check, failed, sample=None):
+        return checks.result(check, SEVERITY, NOTES[check], failed, sample)
+
+    counted = checks.log_rows(
+        counts, entry("FACT_NULL_KEYS", "no_key", sample), entry("FACT_NON_NEGATIVE", "negative")
+    )
+    duplicates = checks.duplicate_groups(window, UNIQUE_KEY)
+    return counted.unionByName(checks.log_rows(duplicates, entry("FACT_DUPLICATES", "failed_count")))

@@ -185,3 +185,24 @@ def semantic_loyalty_v(t: Tables, cap: int | None = SEMANTIC_CAP) -> DataFrame:
     if cap is not None:
         out = out.limit(cap)
     return out.withColumn("customer_id", F.col("customer_id").cast("string"))
+
+
+# Layer and name of each view, as SQL users know them.
+VIEWS = {
+    "harmonized_orders_v": orders_v,
+    "harmonized_customer_loyalty_metrics_v": loyalty_metrics_v,
+    "harmonized_truck_reviews_v": reviews_v,
+    "analytics_orders_v": analytics_orders_v,
+    "analytics_customer_loyalty_metrics_v": analytics_loyalty_metrics_v,
+    "analytics_truck_reviews_v": analytics_reviews_v,
+    "analytics_japan_menu_item_sales_feb_2022": lambda t: country_month_items(t, "Japan", 2022, 2),
+    "semantic_layer_orders_v": semantic_orders_v,
+    "semantic_layer_customer_loyalty_metrics_v": semantic_loyalty_v,
+}
+
+
+def create_views(t: Tables) -> list[str]:
+    """Register every view for SQL, lazily, as ``<layer>_<name>``; the names."""
+    for name, view in VIEWS.items():
+        view(t).createOrReplaceTempView(name)
+    return list(VIEWS)

@@ -80,8 +80,8 @@ def dq_null_keys(spark, sf_dir):
     bad = checks.any_null(["customer_id", "e_mail"])
     sample = checks.sample_json(lines, bad, ["order_id", "order_detail_id", "country"])
     counts = lines.agg(checks.failing(bad).alias("failed_count"))
-    row = checks.result_row(counts, "NULL_KEYS", "ERROR", "", sample=sample.scalar())
-    return row.select("failed_count", "status", "sample_rows")
+    rows = checks.log_rows(counts, checks.result("NULL_KEYS", "ERROR", "", sample=sample.scalar()))
+    return rows.select("failed_count", "status", "sample_rows")
 
 
 @R.add("dq_non_negative", """
@@ -94,7 +94,7 @@ def dq_non_negative(spark, sf_dir):
     lines = source(spark, sf_dir, "lineitem").join(source(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
     measured = lines.select("l_quantity", (F.col("l_extendedprice") - 50 * F.col("p_retailprice")).alias("margin"))
     counts = measured.agg(checks.failing(checks.any_negative(["margin", "l_quantity"])).alias("failed_count"))
-    return checks.result_row(counts, "NON_NEGATIVE", "ERROR", "").select("failed_count", "status")
+    return checks.log_rows(counts, checks.result("NON_NEGATIVE", "ERROR", "")).select("failed_count", "status")
 
 
 @R.add("dq_duplicates", """
@@ -103,7 +103,7 @@ FROM (SELECT l_orderkey, l_linenumber FROM lineitem GROUP BY ALL HAVING count(*)
 def dq_duplicates(spark, sf_dir):
     """How many (order, line number) values occur more than once."""
     found = checks.duplicate_groups(source(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])
-    return checks.result_row(found, "DUPLICATES", "ERROR", "").select("failed_count", "status")
+    return checks.log_rows(found, checks.result("DUPLICATES", "ERROR", "")).select("failed_count", "status")
 
 
 # ---- joins --------------------------------------------------------------------------------------

@@ -90,3 +90,12 @@ def test_semantic_orders_cap(t):
     assert [r["order_detail_id"] for r in df.collect()] == ["11", "12"]
     assert views.semantic_orders_v(t, cap=3).count() == 3 and len(df.columns) == 18
     assert views.semantic_orders_v(t).count() == 4
+
+
+def test_views_for_sql(spark, t):
+    assert len(views.create_views(t)) == 9
+    got = spark.sql("SELECT menu_item_name, order_total FROM analytics_japan_menu_item_sales_feb_2022").collect()
+    assert len(got) == 3
+    got = spark.sql("SELECT count(*) AS n, sum(quantity) AS q FROM analytics_orders_v WHERE date < DATE'2022-03-01'").first()
+    assert tuple(got) == (3, 3)
+    assert spark.table("semantic_layer_orders_v").count() == 4
