@@ -16,6 +16,15 @@ from marketday.plans.views import Tables
 from marketday.session import stage
 from marketday.sources.schemas import MART
 
+# What each step reports.
+MESSAGES = {
+    "build_fact": "fact_daily_item_sales built for last {} days",
+    "build_kpi": "kpi_daily_brand built for last {} days",
+    "run_checks": "DQ checks executed for last {} days",
+    "detect": "Anomalies detected for last {} days",
+}
+# --- end of fixed values ---
+
 RUN_LOG = "step string, success boolean, rows_affected bigint, error string, message string, run_ts timestamp_ntz"
 
 
@@ -92,15 +101,15 @@ class DailyRun:
     def run(self, days_back: int = marts.DEFAULT_DAYS) -> DataFrame:
         """All steps in order; the log rows of this run.  A failing step is logged and ends the run."""
         steps = [
-            ("build_fact", self.build_fact, days_back, "fact_daily_item_sales built for last {} days"),
-            ("build_kpi", self.build_kpi, days_back, "kpi_daily_brand built for last {} days"),
-            ("run_checks", self.run_checks, days_back, "DQ checks executed for last {} days"),
-            ("detect", self.detect, max(days_back, anomalies.DEFAULT_DAYS), "Anomalies detected for last {} days"),
+            ("build_fact", self.build_fact, days_back),
+            ("build_kpi", self.build_kpi, days_back),
+            ("run_checks", self.run_checks, days_back),
+            ("detect", self.detect, max(days_back, anomalies.DEFAULT_DAYS)),
         ]
         log, failure = [], None
-        for name, step, days, message in steps:
+        for name, step, days in steps:
             try:
-                log.append((name, True, step(days), "", message.format(days)))
+                log.append((name, True, step(days), "", MESSAGES[name].format(days)))
             except Exception as error:  # noqa: BLE001 - logged, then raised below
                 failure = error
                 log.append((name, False, 0, str(error)[:STATEMENT_CHARS], ""))

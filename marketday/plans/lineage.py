@@ -14,33 +14,38 @@ NODE_CAP = 200
 PREVIEW_ROWS = 200
 TARGET_PENWIDTH = 3
 THEMES = {
-    "vibrant": {
-        "source": "#A7E3FF", "transform": "#FFD59E", "table": "#BBDEFB", "view": "#D1C4E9",
-        "stage": "#ECEFF1", "target": "#FFCDD2", "target_border": "#E53935",
-        "border": "#333333", "edge": "#7A7A7A",
+    "monochrome": {
+        "background": "white", "edge": "#555555", "border": "#333333", "source": "#DDDDDD",
+        "transform": "#BBBBBB", "table": "#EEEEEE", "view": "#CCCCCC", "stage": "#F5F5F5",
+        "target_border": "#111111", "target": "#FFFFFF",
     },
     "muted": {
-        "source": "#CFE8FF", "transform": "#FFE9C6", "table": "#E6F0FA", "view": "#E8DDF0",
-        "stage": "#F2F4F7", "target": "#FFEBEE", "target_border": "#C62828",
-        "border": "#6D6D6D", "edge": "#8E8E8E",
+        "background": "white", "edge": "#8E8E8E", "border": "#6D6D6D", "source": "#CFE8FF",
+        "transform": "#FFE9C6", "table": "#E6F0FA", "view": "#E8DDF0", "stage": "#F2F4F7",
+        "target_border": "#C62828", "target": "#FFEBEE",
     },
-    "monochrome": {
-        "source": "#DDDDDD", "transform": "#BBBBBB", "table": "#EEEEEE", "view": "#CCCCCC",
-        "stage": "#F5F5F5", "target": "#FFFFFF", "target_border": "#111111",
-        "border": "#333333", "edge": "#555555",
+    "vibrant": {
+        "background": "white", "edge": "#7A7A7A", "border": "#333333", "source": "#A7E3FF",
+        "transform": "#FFD59E", "table": "#BBDEFB", "view": "#D1C4E9", "stage": "#ECEFF1",
+        "target_border": "#E53935", "target": "#FFCDD2",
     },
 }
 SHAPES = {"source": "cylinder", "transform": "box3d", "table": "box", "view": "component", "stage": "folder"}
 # --- end of fixed values ---
 
 
+def palette(theme: str | None) -> dict[str, str]:
+    """A theme's colours; an unknown theme is the vibrant one."""
+    return THEMES.get((theme or "").lower(), THEMES["vibrant"])
+
+
 def preview(edges: DataFrame, order_by: list[str] | None = None) -> DataFrame:
     """The first 200 relations."""
     return (edges.orderBy(*order_by) if order_by else edges).limit(PREVIEW_ROWS)
 
 
 def _styled(nodes: DataFrame, target: str, theme: str) -> DataFrame:
-    colours = THEMES.get((theme or "vibrant").lower(), THEMES["vibrant"])
+    colours = palette(theme)
     is_target = F.col("node") == target
     shape = fill = F.lit(None).cast("string")
     for kind, its_shape in SHAPES.items():
@@ -66,5 +71,4 @@ def subgraph(
     """
     picked = stage(nearest_nodes(edges, khop(edges, target, max_hops), cap), "nodes")
     nodes = _styled(picked.withColumn("kind", kinds), target, theme)
-    colours = THEMES.get((theme or "vibrant").lower(), THEMES["vibrant"])
-    return nodes, induced_edges(edges, picked).withColumn("color", F.lit(colours["edge"]))
+    return nodes, induced_edges(edges, picked).withColumn("color", F.lit(palette(theme)["edge"]))

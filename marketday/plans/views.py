@@ -172,7 +172,9 @@ def semantic_loyalty_v(t: Tables, cap: int | None = SEMANTIC_CAP) -> DataFrame:
         .groupBy("customer_id", F.col("location_id").cast("string").alias("location"))
         .agg(F.sum("order_total").alias("spent"))
     )
-    members = loyalty_metrics_v(t).select(*MEMBER_KEYS)
+    # The members of the loyalty view that have orders here: a line's customer is a member with an
+    # order, so the view's own join to the orders would keep the same rows.
+    members = t["customer_loyalty"].select(*MEMBER_KEYS).distinct()
     out = (
         members.join(spent, "customer_id")
         .groupBy("customer_id", "city", "country")

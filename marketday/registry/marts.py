@@ -57,14 +57,13 @@ GROUP BY f.date, f.truck_brand_name""")
 
 
 _LITERAL_KPI = with_fact(f"""
-SELECT CAST(f.date AS VARCHAR) AS date, f.truck_brand_name, CAST(sum(f.orders_count) AS BIGINT) AS total_orders,
-       CAST(sum(f.order_lines) AS BIGINT) AS total_order_lines, CAST(sum(f.quantity) AS BIGINT) AS total_quantity,
-       CAST(sum(f.net_sales) AS DOUBLE) AS total_sales,
-       {_AOV} AS avg_order_value,
-       count(DISTINCT o.customer_id) AS unique_customers
-FROM fact f LEFT JOIN orders_v o ON o.truck_brand_name = f.truck_brand_name AND CAST(o.order_ts AS DATE) = f.date
-WHERE f.date >= {AS_OF} - 7
-GROUP BY f.date, f.truck_brand_name""")
+, lines AS (SELECT date, truck_brand_name, customer_id FROM orders_v)
+SELECT CAST(date AS VARCHAR) AS date, truck_brand_name, CAST(sum(orders_count) AS BIGINT) AS total_orders,
+       CAST(sum(order_lines) AS BIGINT) AS total_order_lines, CAST(sum(quantity) AS BIGINT) AS total_quantity,
+       CAST(sum(net_sales) AS DOUBLE) AS total_sales, {_AOV} AS avg_order_value,
+       count(DISTINCT customer_id) AS unique_customers
+FROM fact LEFT JOIN lines USING (date, truck_brand_name) WHERE date >= {AS_OF} - 7
+GROUP BY date, truck_brand_name""")
 
 
 def _kpi(spark, sf_dir, per_line):
