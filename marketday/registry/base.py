@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marketday.session import stage, tune
+from marketday.session import own_folder, stage, tune
 from marketday.sources import standin
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +41,7 @@ class Registry:
     def add(self, name: str, sql: str | None = None):
         def register(fn: Query) -> Query:
             def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+                own_folder(spark)
                 return plain(fn(tune(spark), sf_dir))
 
             run.__name__, run.__doc__ = name, fn.__doc__

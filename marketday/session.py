@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from functools import lru_cache
 
 from pyspark.sql import SparkSession
 
@@ -40,24 +39,20 @@ def local_session(app: str = "marketday", cores: str = "*", shuffle_partitions:
     )
 
 
-@lru_cache(maxsize=1)
-def _single_machine_folder() -> str:
-    return tempfile.mkdtemp(prefix="marketday-")
-
-
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: the cluster's ``spark.checkpoint.dir``.
-
-    A machine-local folder stands in only where the setting is unset on a single machine (tests);
-    a cluster without the setting is refused.
-    """
+    """The folder every executor can reach: ``spark.checkpoint.dir``, or what ``setCheckpointDir`` has set."""
     sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if folder:
-        return folder
-    if not sc.master.startswith("local"):
+    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not folder:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return _single_machine_folder()
+    return folder
+
+
+def own_folder(spark: SparkSession) -> None:
+    """A work folder for a single machine where none is set; tests, the bench and the registered queries ask for it."""
+    sc = spark.sparkContext
+    if sc.master.startswith("local[") and not (sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()):
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="marketday-"))
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

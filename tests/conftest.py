@@ -6,13 +6,14 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from marketday.session import local_session  # noqa: E402
+from marketday.session import local_session, own_folder  # noqa: E402
 
 
 @pytest.fixture(scope="session")
 def spark():
     session = local_session("tests")
     session.sparkContext.setLogLevel("ERROR")
+    own_folder(session)
     yield session
     session.stop()
 
