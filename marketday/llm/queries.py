@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from marketday.llm import line_dedup, packing, sharding, token_files
+from marketday.llm import decontamination, line_dedup, neighbours, packing, quality, sharding, token_files, toxicity
 from marketday.llm.common import ready, table
 
 
-def _over(name: str, digest):
+def _over(name: str, digest, *more: str):
     def run(spark, sf_dir):
-        return digest(table(ready(spark), sf_dir, name))
+        return digest(*[table(ready(spark), sf_dir, t) for t in (name, *more)])
 
     return run
 
 
 QUERIES = {
+    "op2_toxicity": _over("documents", toxicity.digest, "labels"),
+    "op4_quality": _over("documents", quality.digest, "labels"),
+    "op5_neighbours": _over("embeddings", neighbours.digest),
+    "op6_decontamination": _over("documents", decontamination.digest, "benchmark"),
     "op7_token_files": _over("documents", token_files.digest),
     "op8_packing": _over("documents", packing.digest),
     "op9_line_dedup": _over("documents", line_dedup.digest),

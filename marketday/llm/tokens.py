@@ -91,13 +91,13 @@ def default_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
-def slices(texts: pa.Array):
-    """(start, stop) of runs of rows with about SLICE bytes of text."""
+def slices(texts: pa.Array, limit: int = SLICE):
+    """(start, stop) of runs of rows with about ``limit`` bytes of text, one row at least."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     start = 0
     while start < len(texts):
         base = sizes[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(sizes, base + SLICE, side="right")))
+        stop = max(start + 1, int(np.searchsorted(sizes, base + limit, side="right")))
         yield start, stop
         start = stop
 
