@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marketday.llm import decontamination, jaccard, line_dedup, neighbours, packing, quality, sharding, token_files, toxicity
+from marketday.llm import decontamination, jaccard, line_dedup, neighbours, packing, quality, repeats, sharding, token_files, toxicity
 from marketday.llm.common import ready, table
 
 
@@ -14,6 +14,7 @@ def _over(name: str, digest, *more: str):
 
 
 QUERIES = {
+    "op1_repeats": _over("documents", repeats.digest),
     "op2_toxicity": _over("documents", toxicity.digest, "labels"),
     "op3_jaccard_join": _over("documents", jaccard.digest),
     "op4_quality": _over("documents", quality.digest, "labels"),
