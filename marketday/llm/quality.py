@@ -111,12 +111,12 @@ def logits(net: Net, texts: list[bytes]) -> np.ndarray:
     return feats @ net.out
 
 
-def gradients(net: Net, texts: list[bytes], labels: np.ndarray) -> list[np.ndarray]:
-    """Of the mean logistic loss; only the windows that won their pool pass anything on."""
+def gradients(net: Net, texts: list[bytes], labels: np.ndarray, weights: np.ndarray) -> list[np.ndarray]:
+    """Of the mean weighted logistic loss; only the windows that won their pool pass anything on."""
     blocks, chunk_at, text_at = layout(texts)
     x, act = activations(net, blocks, chunk_at, text_at)
     pool, feats = pooled(act, chunk_at, text_at)
-    off = (1 / (1 + np.exp(-(feats @ net.out))) - labels).astype(np.float32) / len(texts)
+    off = (1 / (1 + np.exp(-(feats @ net.out))) - labels).astype(np.float32) * weights / len(texts)
     n = np.diff(np.append(text_at, len(pool)))
     text_of = np.repeat(np.arange(len(texts)), n)
     best = feats[:, FILTERS : 2 * FILTERS]
@@ -139,14 +139,15 @@ def gradients(net: Net, texts: list[bytes], labels: np.ndarray) -> list[np.ndarr
 
 
 def train(rows: list[tuple[bytes, int]], seed: int = 7) -> Net:
-    """Adam over the sample.  Without both labels the answer is the share of ones, for every text."""
+    """Adam over the sample, both labels with the same weight in all.  Without both the answer is the share of ones, for every text."""
     net, rng = fresh(seed), np.random.default_rng(seed)
     labels = np.array([y for _, y in rows], dtype=np.float32)
     share = float(labels.mean()) if len(rows) else 0.5
-    net.out[-1] = np.log((share + 1e-3) / (1 - share + 1e-3))
-    if len(set(labels.tolist())) < 2:
-        net.out[:-1] = 0
+    if not 0 < share < 1:
+        net.out[:] = 0
+        net.out[-1] = np.log((share + 1e-3) / (1 - share + 1e-3))
         return net
+    weights = np.where(labels > 0, 0.5 / share, 0.5 / (1 - share)).astype(np.float32)
     first = [np.zeros_like(a) for a in net.arrays()]
     second = [np.zeros_like(a) for a in net.arrays()]
     t, steps = 0, EPOCHS * -(-len(rows) // BATCH)
@@ -156,7 +157,7 @@ def train(rows: list[tuple[bytes, int]], seed: int = 7) -> Net:
             pick = order[k : k + BATCH]
             t += 1
             rate = RATE * (1 - (t - 1) / steps)
-            for a, g, m, v in zip(net.arrays(), gradients(net, [rows[i][0] for i in pick], labels[pick]), first, second, strict=True):
+            for a, g, m, v in zip(net.arrays(), gradients(net, [rows[i][0] for i in pick], labels[pick], weights[pick]), first, second, strict=True):
                 m += 0.1 * (g - m)
                 v += 0.001 * (g * g - v)
                 a -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)

@@ -85,7 +85,7 @@ def lattice(piece: str, spaced: bool) -> list[list[tuple[str, float]]]:
     while i < len(text):
         ch, j = text[i], i + 1
         if ch in LOOK_ALIKE:
-            out.append([(x, SWAP) for x in LOOK_ALIKE[ch]] + [(ch, KEEP), ("", DROP)])
+            out.append([(x, SWAP) for x in LOOK_ALIKE[ch]] + [(ch, KEEP)] + [("", DROP)] * (not ch.isdigit()))
         elif spaced and ch in SEPARATORS:
             while j < len(text) and text[j] in SEPARATORS:
                 j += 1
