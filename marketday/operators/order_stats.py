@@ -1,37 +1,111 @@
 """Exact medians and deviations that do not collect a group in one place.
 
 Spark's exact percentile keeps a group's values in one task, and a window over a group sorts it in
-one task; with one group holding a third of all rows both stop scaling.  Here values become whole
-units (cents, pieces) and are counted per distinct value, which combines on the map side.  The
-counts are added up into bands of neighbouring values.  Running totals over a group's bands tell
-which one or two of them hold the middle ranks, and only their values are looked at again, joined on
-(group, band).  No shuffle key ever holds more than one band's distinct values or one group's bands,
-whatever the distribution (see :func:`band_bits`).
-
-The same runs over trailing frames of days: bands are counted per day, repeated once for each later
-day whose frame covers them, and added up.  A band then holds its distinct values of each day.
-
-An input whose *total* row count is small cannot hold a big group; it takes the short way and sorts
-each group.  Both ways give the same numbers.
+one task; with one group holding a third of all rows both stop scaling.
+
+Groups: values are counted per distinct value, which combines on the map side, and the middle ranks are
+found digit by digit.  A double's 64 bits, read as a whole number that orders like the value, are split into
+four digits; counting the first digit tells which one holds a middle rank, and only values with that
+digit are counted by the next.  Every window sees the digits of one group, never its values, and the work
+is one aggregation a digit whatever the distribution.  Deviations are values like any others.
+
+Trailing frames of days: whole units (cents, pieces) are counted per day and added up into bands of
+neighbouring values.  A frame's bands are the days' bands added up, running totals tell which
+one or two hold the middle ranks, and only their values are looked at again, joined on
+(key, band, block of days): a frame meets the one or two blocks it touches, however long the history.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketday.session import stage
 
-SMALL_INPUT = 2_000_000  # rows in all, each counted once per frame it is in; no group can hold more
 LOWER, UPPER = "(n + 1) div 2", "n div 2 + 1"  # ranks of the two middle values, equal for odd n
+DIGITS = (48, 32, 16, 0)  # bits below each digit
+SMALLEST = -1000  # binary exponent; nearer to zero than that is refused
+
+
+def ordered_bits(x: Column) -> Column:
+    """A double as a whole number that orders like it: sign, exponent, fraction.
+
+    The logarithm only suggests the exponent; multiplying by powers of two is exact and corrects it.
+    """
+    size = F.abs(x)
+    guess = F.greatest(F.floor(F.log2(size)).cast("int"), F.lit(SMALLEST))
+    first = size * F.pow(F.lit(2.0), -guess)
+    exponent = guess + F.when(first < 1, -1).when(first >= 2, 1).otherwise(0)
+    whole = (size * F.pow(F.lit(2.0), -exponent) * float(2**52)).cast("bigint")
+    bits = (exponent - SMALLEST + 2).cast("bigint") * 2**52 + whole - 2**52
+    refused = F.raise_error(F.concat(F.lit("no order statistics of "), x.cast("string"))).cast("bigint")
+    bits = F.when(size == 0, F.lit(0).cast("bigint")).when(size.between(2.0**SMALLEST, 1.7976931348623157e308), bits).otherwise(refused)
+    return F.when(x < 0, -bits).otherwise(bits)
 
 
 def units(col: Column, scale: int) -> Column:
-    """A value as a whole number of its smallest units."""
-    return (col.cast(f"decimal(28,{scale})") * 10**scale).cast("bigint")
+    """A value as a whole number of its smallest units; a value with more digits is an error."""
+    whole = col.cast(f"decimal(28,{scale})")
+    lost = F.raise_error(F.concat(F.lit(f"more than {scale} digits after the point: "), col.cast("string")))
+    return F.when(col.isNull() | (whole == col), (whole * 10**scale).cast("bigint")).otherwise(lost.cast("bigint"))
+
+
+def _matched(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """An inner join on keys in which NULL meets NULL."""
+    right = right.select(*[F.col(k).alias(f"_{k}") if k in keys else F.col(k) for k in right.columns])
+    same = reduce(Column.__and__, [left[k].eqNullSafe(right[f"_{k}"]) for k in keys], F.lit(True))
+    return left.join(right, same).drop(*[f"_{k}" for k in keys])
+
+
+def _middle(counted: DataFrame, groups: list[str]) -> DataFrame:
+    """Per group ``n`` and ``median``: ``counted`` has groups, the value ``x``, its order ``v`` and its count ``c``."""
+    digits = [F.call_function("shiftright", F.col("v"), F.lit(s)) for s in DIGITS]
+    group = Window.partitionBy(*groups)
+    sums = counted.groupBy(*groups, digits[0].alias("p")).agg(F.sum("c").alias("c"))
+    ranks = F.array(F.struct(F.lit(0).alias("w"), F.expr(LOWER).alias("r")), F.struct(F.lit(1).alias("w"), F.expr(UPPER).alias("r")))
+
+    def holding(sums: DataFrame, frame) -> DataFrame:
+        """The digit that holds each wanted rank, and the rank among the values with that digit."""
+        upto = sums.withColumn("upto", F.sum("c").over(frame.orderBy("p")))
+        return upto.filter("upto >= r AND upto - c < r").select(*groups, "w", (F.col("r") - F.col("upto") + F.col("c")).alias("r"), "n", "p")
+
+    wanted = sums.withColumn("n", F.sum("c").over(group)).withColumn("t", F.explode(ranks)).select(*groups, "t.w", "t.r", "n", "p", "c")
+    wanted = holding(wanted, Window.partitionBy(*groups, "w"))
+    for above, digit in zip(digits, digits[1:]):
+        inside = _matched(counted.withColumn("p", above), wanted, [*groups, "p"])
+        sums = inside.groupBy(*groups, "w", "r", "n", digit.alias("p")).agg(F.sum("c").alias("c"), F.min("x").alias("x"))
+        upto = sums.withColumn("upto", F.sum("c").over(Window.partitionBy(*groups, "w").orderBy("p")))
+        wanted = upto.filter("upto >= r AND upto - c < r").select(*groups, "w", (F.col("r") - F.col("upto") + F.col("c")).alias("r"), "n", "p", "x")
+        last, wanted = wanted, wanted.drop("x")
+    return last.groupBy(*groups).agg(F.first("n").alias("n"), ((F.min("x") + F.max("x")) / 2).alias("median"))
+
+
+def group_order_stats(df: DataFrame, keys: list[str], value: str, median_dev: bool = True) -> DataFrame:
+    """``n``, ``median``, ``mean_abs_dev`` and ``median_abs_dev`` of a column of doubles per group.
+
+    Missing values (NULL and NaN) are left out; infinite ones are an error.  The medians are values of the column, or the
+    mean of two; deviations are differences of doubles.
+    """
+    x = F.col(value).cast("double")
+    known = df.filter(x.isNotNull() & ~F.isnan(x)).select(*keys, (x + 0.0).alias("x"))
+    counted = known.groupBy(*keys, "x").agg(F.count(F.lit(1)).alias("c")).withColumn("v", ordered_bits(F.col("x")))
+    counted = stage(counted, "counts")
+    medians = stage(_middle(counted, keys), "medians")
+    away = _matched(counted.select(*keys, "x", "c"), medians, keys).withColumn("d", F.abs(F.col("x") - F.col("median")))
+    means = away.groupBy(*keys).agg((F.sum(F.col("d") * F.col("c")) / F.sum("c")).alias("mean_abs_dev"))
+    out, columns = _matched(medians, means, keys), ["n", "median", "mean_abs_dev"]
+    if median_dev:
+        counted = away.groupBy(*keys, F.col("d").alias("x")).agg(F.sum("c").alias("c")).withColumn("v", ordered_bits(F.col("x")))
+        spread = _middle(stage(counted, "deviations"), keys).select(*keys, F.col("median").alias("median_abs_dev"))
+        out, columns = _matched(out, spread, keys), [*columns, "median_abs_dev"]
+    return out.select(*keys, *columns)
+
+
+# ---- trailing frames -------------------------------------------------------------------------------
 
 
 def band_bits(largest) -> int:
@@ -137,34 +211,6 @@ def _median_deviations(
     )
 
 
-def _by_sorting(values: DataFrame, groups: list[str], median_dev: bool) -> DataFrame:
-    """All statistics of groups known to be small: ``values`` has groups, ``v`` and ``c``.
-
-    One shuffle by group; the values are sorted once by size and once by distance.
-    """
-    group = Window.partitionBy(*groups)
-    placed = (
-        values.withColumn("n", F.sum("c").over(group))
-        .withColumn("upto", F.sum("c").over(group.orderBy("v")))
-        .withColumn(
-            "m2",
-            F.min(F.expr(f"CASE WHEN upto >= {LOWER} THEN v END")).over(group)
-            + F.min(F.expr(f"CASE WHEN upto >= {UPPER} THEN v END")).over(group),
-        )
-        .withColumn("dev2", F.abs(2 * F.col("v") - F.col("m2")))
-    )
-    stats = [
-        F.first("n").alias("n"),
-        (F.first("m2") / 2).alias("median"),
-        (F.sum(F.col("dev2").cast("double") * F.col("c")) / (2 * F.first("n"))).alias("mean_abs_dev"),
-    ]
-    if median_dev:
-        placed = placed.withColumn("within", F.sum("c").over(group.orderBy("dev2")))
-        low, high = (F.min(F.expr(f"CASE WHEN within >= {rank} THEN dev2 END")) for rank in (LOWER, UPPER))
-        stats.append(((low + high) / 4).alias("median_abs_dev"))
-    return placed.groupBy(*groups).agg(*stats)
-
-
 def _by_bands(bands: DataFrame, groups: list[str], fetch: Fetch, bits: Column, median_dev: bool) -> DataFrame:
     medians = stage(_medians(bands, groups, fetch), "medians")  # one row per group, used twice
     cols = ["n", (F.col("m2") / 2).alias("median"), F.col("mean_dev").alias("mean_abs_dev")]
@@ -182,42 +228,20 @@ def _in_values(stats: DataFrame, groups: list[str], unit: Column) -> DataFrame:
     )
 
 
-def group_order_stats(
-    df: DataFrame, keys: list[str], value: str, scale: int = 2, median_dev: bool = True,
-    small: int = SMALL_INPUT,
-) -> DataFrame:
-    """Exact ``n``, ``median``, ``mean_abs_dev`` and ``median_abs_dev`` of a column per group."""
-    known = df.filter(F.col(value).isNotNull()).select(*keys, units(F.col(value), scale).alias("v"))
-    rows, largest = known.agg(F.count(F.lit(1)), F.max(F.abs("v"))).first()
-    bits, unit = F.lit(band_bits(largest)), F.lit(float(10**scale))
-    counted = known.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("c"))
-    if rows <= small:
-        return _in_values(_by_sorting(counted, keys, median_dev), keys, unit)
-    counted = stage(_with_band(counted, bits), "counts")
-
-    def fetch(chosen: DataFrame) -> DataFrame:
-        return chosen.join(counted.select(*keys, "band", "v", "c"), [*keys, "band"])
-
-    return _in_values(_by_bands(_bands(counted, keys), keys, fetch, bits, median_dev), keys, unit)
-
-
 def trailing_order_stats(
     df: DataFrame,
     keys: list[str],
     day: str,
     first_day: dt.date,
     last_day: dt.date,
-    rows: int,
     bits: Column,
     unit: Column,
     window: int = 60,
     median_dev: bool = True,
-    small: int = SMALL_INPUT,
 ) -> DataFrame:
-    """The same over the days ``[d - window, d - 1]`` for each day ``d`` from first to last.
+    """Order statistics over the days ``[d - window, d - 1]`` for each day ``d`` from first to last.
 
-    ``df`` carries ``keys``, ``day`` and whole units ``v`` (see :func:`units`) in ``rows`` rows;
-    ``bits`` is the band width and ``unit`` the units per value, which may depend on the keys.
+    ``df`` carries ``keys``, ``day`` and whole units ``v`` (see :func:`units`); ``bits`` is the band width and ``unit`` the units per value, which may depend on the keys.
     Days without any value in their frame are absent.
     """
     groups = [*keys, day]
@@ -233,18 +257,19 @@ def trailing_order_stats(
             .withColumn(day, F.explode(F.sequence("from_day", "to_day")))
         )
 
-    reach = min(window, (last_day - first_day).days + 1)
-    if rows * reach <= small:
-        return _in_values(_by_sorting(covering(counted), groups, median_dev), groups, unit)
     counted = stage(_with_band(counted, bits), "counts")
     bands = covering(_bands(counted, groups)).groupBy(*groups, "band").agg(
         F.sum("c").alias("c"), F.sum("s").alias("s")
     )
 
+    def block(days) -> Column:
+        return F.floor(F.unix_date(days) / window)
+
     def fetch(chosen: DataFrame) -> DataFrame:
-        values = counted.select(*keys, F.col(day).alias("on_day"), "band", "v", "c")
-        return chosen.join(values, [*keys, "band"]).filter(
-            F.col("on_day").between(F.date_sub(day, window), F.date_sub(day, 1))
-        )
+        values = counted.select(*keys, F.col(day).alias("on_day"), "band", "v", "c", block(F.col(day)).alias("block"))
+        touched = F.sequence(block(F.date_sub(day, window)), block(F.date_sub(day, 1)))
+        met = chosen.withColumn("block", F.explode(touched)).join(values, [*keys, "band", "block"])
+        framed = met.filter(F.col("on_day").between(F.date_sub(day, window), F.date_sub(day, 1)))
+        return framed.groupBy(*chosen.columns, "v").agg(F.sum("c").alias("c"))  # equal values of all days are one
 
     return _in_values(_by_bands(bands, groups, fetch, bits, median_dev), groups, unit)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketday.functions.scalar import robust_zscore, zscore
-from marketday.operators.order_stats import SMALL_INPUT, band_bits, trailing_order_stats, units
+from marketday.operators.order_stats import band_bits, trailing_order_stats, units
 from marketday.operators.rebuild import cutoff_date, in_window
 from marketday.operators.trailing import daily_moments, sample_sd, trailing_moments
 
@@ -37,7 +37,6 @@ def _metric_rows(fact: DataFrame) -> DataFrame:
 
 def trailing_item_stats(
     fact: DataFrame, as_of: dt.date, days_back: int = DEFAULT_DAYS, as_written: bool = False,
-    small: int = SMALL_INPUT,
 ) -> DataFrame:
     """Mean, deviation, median and spread of the 60 days before each recent (item, day), per metric.
 
@@ -48,9 +47,9 @@ def trailing_item_stats(
     """
     first = cutoff_date(as_of, days_back)
     base = fact.filter(in_window(F.col("date"), cutoff_date(as_of, days_back + HISTORY_DAYS)))
-    # Four numbers about the slice: its size, its last day and the value ranges.
+    # Three numbers about the slice: its last day and the value ranges.
     span = base.agg(
-        F.count(F.lit(1)).alias("rows"), F.max("date").alias("last"),
+        F.max("date").alias("last"),
         *[F.max(F.abs(column)).alias(name) for name, column in METRICS.items()],
     ).first()
     last = max(span["last"] or as_of, first)
@@ -75,7 +74,7 @@ def trailing_item_stats(
         )
     order = trailing_order_stats(
         rows.select(*keys, "date", v.alias("v")), keys, "date", first, last,
-        span["rows"] * len(METRICS), bits, unit, HISTORY_DAYS, median_dev=not as_written, small=small,
+        bits, unit, HISTORY_DAYS, median_dev=not as_written,
     )
     mad = "mean_abs_dev" if as_written else "median_abs_dev"
     return spread.join(order, [*keys, "date"]).select(
@@ -85,14 +84,13 @@ def trailing_item_stats(
 
 def detect_anomalies(
     fact: DataFrame, as_of: dt.date, days_back: int = DEFAULT_DAYS, as_written: bool = False,
-    small: int = SMALL_INPUT,
 ) -> DataFrame:
     """Score every fact row of the last ``days_back`` days on both metrics.
 
     ``fact`` should be a stored table: it is read for the value ranges, the statistics and the rows.
     Scores are not rounded here; writers round to the target's scale.  A missing score counts as 0.
     """
-    stats = trailing_item_stats(fact, as_of, days_back, as_written, small)
+    stats = trailing_item_stats(fact, as_of, days_back, as_written)
     recent = _metric_rows(fact.filter(in_window(F.col("date"), cutoff_date(as_of, days_back))))
     scored = recent.join(stats, ["menu_item_id", "metric_name", "date"], "left")
     value = F.col("metric_value")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from marketday.functions.scalar import safe_divide
 from marketday.operators import checks
-from marketday.operators.order_stats import SMALL_INPUT, band_bits, group_order_stats, trailing_order_stats, units
+from marketday.operators.order_stats import band_bits, group_order_stats, trailing_order_stats, units
 from marketday.operators.rebuild import cutoff_date, in_window
 from marketday.operators.trailing import (
     daily_moments, sample_sd, trailing_moments, trailing_sums_by_frame, trailing_sums_by_join,
@@ -278,14 +278,27 @@ SELECT l_returnflag, count(*) AS n, {shown_sql("any_value(m)")} AS median,
        {shown_sql("median(abs(l_extendedprice - m))")} AS median_abs_dev
 FROM lineitem JOIN m USING (l_returnflag) GROUP BY ALL""")
 def agg_order_stats_banded(spark, sf_dir):
-    """The same statistics the way that serves groups of any size, here for three hot groups."""
-    stats = group_order_stats(source(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_extendedprice", small=0)
+    """The same statistics of three hot groups."""
+    stats = group_order_stats(source(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_extendedprice")
     return stats.select(
         "l_returnflag", "n", shown("median").alias("median"), shown("mean_abs_dev", 3).alias("mean_abs_dev"),
         shown("median_abs_dev").alias("median_abs_dev"),
     )
 
 
+@R.add("agg_order_stats_digits", f"""
+WITH ratios AS (SELECT p_brand, p_retailprice / p_size AS x FROM part),
+m AS (SELECT p_brand, median(x) AS m FROM ratios GROUP BY ALL)
+SELECT p_brand, count(*) AS n, {shown_sql("any_value(m)", 9)} AS median, {shown_sql("avg(abs(x - m))", 9)} AS mean_abs_dev,
+       {shown_sql("median(abs(x - m))", 9)} AS median_abs_dev
+FROM ratios JOIN m USING (p_brand) GROUP BY ALL""")
+def agg_order_stats_digits(spark, sf_dir):
+    """The same of quotients, which use all digits of a double."""
+    ratios = source(spark, sf_dir, "part").select("p_brand", (F.col("p_retailprice") / F.col("p_size")).alias("x"))
+    stats = group_order_stats(ratios, ["p_brand"], "x")
+    return stats.select("p_brand", "n", *[shown(c, 9).alias(c) for c in ("median", "mean_abs_dev", "median_abs_dev")])
+
+
 @R.add("agg_array_distinct", with_roles("""
 SELECT customer_id, list_aggregate(list_sort(list(DISTINCT CAST(location_id AS BIGINT))), 'string_agg', ',') AS places
 FROM order_header GROUP BY ALL"""))
@@ -338,12 +351,11 @@ def win_trailing_mean_sd(spark, sf_dir):
     )
 
 
-def _trailing_order(spark, sf_dir, median_dev, small=SMALL_INPUT):
+def _trailing_order(spark, sf_dir, median_dev):
     rows = stored(_history(spark, sf_dir).select("menu_item_id", "date", units(F.col("net_sales"), 2).alias("v")))
-    n, last, first, largest = rows.agg(F.count("v"), F.max("date"), F.min("date"), F.max("v")).first()
+    last, first, largest = rows.agg(F.max("date"), F.min("date"), F.max("v")).first()
     stats = trailing_order_stats(
-        rows, ["menu_item_id"], "date", first, last, n, F.lit(band_bits(largest)), F.lit(100.0),
-        median_dev=median_dev, small=small,
+        rows, ["menu_item_id"], "date", first, last, F.lit(band_bits(largest)), F.lit(100.0), median_dev=median_dev,
     )
     return rows.select("menu_item_id", "date").distinct().join(stats, ["menu_item_id", "date"])
 
@@ -377,8 +389,8 @@ def win_trailing_mean_abs_dev(spark, sf_dir):
 SELECT menu_item_id, CAST(date AS VARCHAR) AS date, {shown_sql("median(abs(x - m))", 3)} AS median_abs_dev
 FROM frames JOIN middle USING (menu_item_id, date) GROUP BY ALL"""))
 def win_trailing_median_abs_dev(spark, sf_dir):
-    """Median absolute deviation of the 60 days before, the way that serves items of any size."""
-    return _trailing_order(spark, sf_dir, True, small=0).select(
+    """Median absolute deviation of the 60 days before."""
+    return _trailing_order(spark, sf_dir, True).select(
         "menu_item_id", "date", shown("median_abs_dev", 3).alias("median_abs_dev")
     )
 

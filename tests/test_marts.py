@@ -150,23 +150,22 @@ def test_checks_see_only_the_window(spark):
 # ---- anomalies --------------------------------------------------------------------------------------
 
 
-def stats_of(spark, rows, as_written, small=1_000_000):
+def stats_of(spark, rows, as_written):
     as_of = D + dt.timedelta(days=1)
-    got = anomalies.trailing_item_stats(facts(spark, rows), as_of, 0, as_written, small)
+    got = anomalies.trailing_item_stats(facts(spark, rows), as_of, 0, as_written)
     return {r["metric_name"]: r for r in got.filter(F.col("date") == as_of).collect()}
 
 
-@pytest.mark.parametrize("small", [0, 1_000_000])
-def test_literal_definition_repeats_history_per_scored_row(spark, small):
+def test_literal_definition_repeats_history_per_scored_row(spark):
     history = [fact_row(D, location="x", sales=1), fact_row(D, location="y", sales=5)]
     one = [fact_row(D + dt.timedelta(days=1), sales=2)]
     for as_written in (False, True):
-        got = stats_of(spark, history + one, as_written, small)["NET_SALES"]
+        got = stats_of(spark, history + one, as_written)["NET_SALES"]
         assert (got["mean"], got["median"], got["n"]) == (3, 3, 2)
         assert got["sd"] == pytest.approx(2.8284271)
     two = one + [fact_row(D + dt.timedelta(days=1), location="y", sales=2)]
-    assert stats_of(spark, history + two, True, small)["NET_SALES"]["sd"] == pytest.approx(2.3094011)
-    assert stats_of(spark, history + two, False, small)["NET_SALES"]["sd"] == pytest.approx(2.8284271)
+    assert stats_of(spark, history + two, True)["NET_SALES"]["sd"] == pytest.approx(2.3094011)
+    assert stats_of(spark, history + two, False)["NET_SALES"]["sd"] == pytest.approx(2.8284271)
 
 
 def test_one_day_of_history_has_no_score_and_no_flag(spark):

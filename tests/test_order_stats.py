@@ -5,14 +5,13 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
-from marketday.operators.order_stats import band_bits, group_order_stats, trailing_order_stats
+from marketday.operators.order_stats import (
+    band_bits, group_order_stats, ordered_bits, trailing_order_stats, units,
+)
 from marketday.operators.trailing import (
     daily_moments, sample_sd, trailing_moments, trailing_sums_by_frame, trailing_sums_by_join,
 )
 
-WAYS = pytest.mark.parametrize("small", [0, 1_000_000], ids=["banded", "sorted"])
-
-
 def brute(values):
     m = statistics.median(values)
     dev = [abs(v - m) for v in values]
@@ -26,37 +25,74 @@ def as_dict(df, keys):
 def same(row, expected):
     got = (row["n"], row["median"], row["mean_abs_dev"], row["median_abs_dev"])
     assert got[0] == expected[0]
-    assert got[1:] == pytest.approx(expected[1:], abs=1e-9)
+    assert got[1:] == pytest.approx(expected[1:], abs=1e-9, rel=1e-12)
 
 
-@WAYS
-def test_known_values(spark, small):
+def test_known_values(spark):
     df = spark.createDataFrame([("a", x) for x in (1.0, 2.0, 4.0, 8.0)] + [("b", 1.0), ("c", None)], "k string, x double")
-    got = as_dict(group_order_stats(df, ["k"], "x", small=small), "k")
+    got = as_dict(group_order_stats(df, ["k"], "x"), "k")
     assert set(got) == {("a",), ("b",)}
     same(got["a",], (4, 3.0, 2.25, 1.5))
     same(got["b",], (1, 1.0, 0.0, 0.0))
 
 
-@WAYS
-@pytest.mark.parametrize("seed", range(4))
-def test_against_brute_force(spark, small, seed):
+@pytest.mark.parametrize("seed", range(7))
+def test_against_brute_force(spark, seed):
     """Groups of very different sizes (one holds most rows), ties, negative and far-out values."""
     rng = random.Random(seed)
     draw = [
         lambda: rng.randint(-5, 5) / 100, lambda: rng.randint(0, 10**9) / 100, lambda: rng.choice([0.0, 1.0]),
-        lambda: round(rng.lognormvariate(3, 4), 2),
+        lambda: round(rng.lognormvariate(3, 4), 2), lambda: rng.choice([0.001, 0.002, 0.004, -0.0, 1e-300]),
+        lambda: rng.uniform(-1, 1) * 10.0 ** rng.randint(-200, 200), lambda: 1e15 + rng.random(),
     ][seed]
     rows = [(0 if rng.random() < 0.7 else rng.randint(1, 30), draw()) for _ in range(1500)]
     groups = {}
     for k, x in rows:
         groups.setdefault(k, []).append(x)
-    got = as_dict(group_order_stats(spark.createDataFrame(rows, "k int, x double"), ["k"], "x", small=small), "k")
+    got = as_dict(group_order_stats(spark.createDataFrame(rows, "k int, x double"), ["k"], "x"), "k")
     assert len(got) == len(groups)
     for k, values in groups.items():
         same(got[k,], brute(values))
 
 
+def test_small_digits_are_not_lost(spark):
+    df = spark.createDataFrame([(None, x) for x in (0.001, 0.002, 0.004)], "k string, x double")
+    row = group_order_stats(df, ["k"], "x").first()
+    assert (row["k"], row["n"], row["median"]) == (None, 3, 0.002)
+    assert row["median_abs_dev"] == 0.001
+    with pytest.raises(Exception, match="digits after the point"):
+        df.select(units(F.col("x"), 2)).collect()
+
+
+def test_bits_order_like_values(spark):
+    rng = random.Random(2)
+    values = [s * m * 2.0**e for s in (-1, 1) for e in range(-999, 1023, 37) for m in (1.0, 1.9999999999999998, 1 + rng.random())]
+    values += [0.0, 1.7976931348623157e308, -1.7976931348623157e308]
+    df = spark.createDataFrame([(v,) for v in values], "x double").select("x", ordered_bits(F.col("x")).alias("v"))
+    rows = sorted((r["x"], r["v"]) for r in df.collect())
+    assert [v for _, v in rows] == sorted({v for _, v in rows})
+    with pytest.raises(Exception, match="no order statistics"):
+        spark.createDataFrame([(float("inf"),)], "x double").select(ordered_bits(F.col("x"))).collect()
+
+
+@pytest.mark.parametrize("years", [1, 4])
+def test_frames_meet_a_bounded_number_of_values(spark, years):
+    """The join by blocks of days reads a bounded multiple of what it keeps, however long the history."""
+    start, days = dt.date(2020, 1, 1), 365 * years
+    df = spark.range(days * 3).select(
+        F.lit(1).alias("k"), F.date_add(F.lit(start), (F.col("id") % days).cast("int")).alias("day"), (F.col("id") * 7919 % 500).alias("v")
+    )
+    stats = trailing_order_stats(df, ["k"], "day", start, start + dt.timedelta(days=days - 1), F.lit(4), F.lit(1.0), window=60, median_dev=False)
+    assert stats.count() == days - 1
+    daily = df.groupBy("k", "day", "v").count().withColumn("block", F.floor(F.unix_date("day") / 60))
+    frames = df.select("k", F.col("day").alias("d")).distinct().withColumn(
+        "block", F.explode(F.sequence(F.floor(F.unix_date(F.date_sub("d", 60)) / 60), F.floor(F.unix_date(F.date_sub("d", 1)) / 60)))
+    )
+    met = frames.join(daily, ["k", "block"])
+    kept = met.filter(F.col("day").between(F.date_sub("d", 60), F.date_sub("d", 1))).count()
+    assert met.count() < 5 * kept
+
+
 def fact(seed=1, days=40):
     rng = random.Random(seed)
     start = dt.date(2024, 1, 1)
@@ -67,14 +103,13 @@ def fact(seed=1, days=40):
     return rows, start, start + dt.timedelta(days=days - 1)
 
 
-@WAYS
-def test_trailing_against_brute_force(spark, small):
+def test_trailing_against_brute_force(spark):
     rows, start, last = fact()
     first = start + dt.timedelta(days=25)
     df = spark.createDataFrame(rows, "k int, day date, v bigint")
     got = as_dict(
         trailing_order_stats(
-            df, ["k"], "day", first, last, len(rows), F.lit(band_bits(5000)), F.lit(1.0), window=10, small=small
+            df, ["k"], "day", first, last, F.lit(band_bits(5000)), F.lit(1.0), window=10
         ),
         ["k", "day"],
     )
