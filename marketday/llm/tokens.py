@@ -8,6 +8,7 @@ worker remembers the pieces it has met, up to MEMORY of them.
 from __future__ import annotations
 
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -15,11 +16,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 TOKENIZER = "word_bpe_49k.json"
-MEMORY = 300_000  # remembered pieces; at the bound the memory starts afresh
+MEMORY = 700_000  # remembered pieces; at the bound the memory starts afresh
 SLICE = 8_000_000  # bytes of text taken at a time
 
 # ASCII and the letters of Latin-1: composed already, with one lower-case letter each
-_PLAIN = re.compile("[\x21-\x7eÀ-ÖØ-öø-ÿ]*")
+_PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]*")
 _PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-z0-9ß-öø-ÿ]+")
 
 
@@ -31,6 +32,8 @@ def _byte_letters() -> dict[int, str]:
 
 
 class Encoder:
+    """``ids`` holds the ids of every entry, ``starts`` where they begin; pieces and their parts are entries."""
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
@@ -41,25 +44,35 @@ class Encoder:
 
     def _forget(self):
         self.place: dict[str, int] = {}
-        self.parts: dict[str, tuple[int, ...]] = {}
-        self.ids: list[int] = []
-        self.starts: list[int] = [0]
+        self.parts: dict[str, int] = {}
+        self.ids, self.starts = array("I"), array("q", [0])
+
+    def _entry(self, ids: list[int]) -> int:
+        self.ids.extend(ids)
+        self.starts.append(len(self.ids))
+        return len(self.starts) - 2
 
-    def _part(self, part: str) -> tuple[int, ...]:
+    def _part(self, part: str) -> int:
         got = self.parts.get(part)
         if got is None:
             spelled = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
-            got = self.parts[part] = tuple(t.id for t in self.model.tokenize(spelled))
+            got = self.parts[part] = self._entry([t.id for t in self.model.tokenize(spelled)])
         return got
 
     def _learn(self, piece: str) -> int:
-        if _PLAIN.fullmatch(piece):
-            for part in _PARTS.findall(piece.lower()):
-                self.ids.extend(self._part(part))
+        plain = piece.isascii() and piece.isprintable() or _PLAIN.fullmatch(piece)
+        lower = piece.lower()
+        if plain and lower.isalpha():
+            number = self._part(lower)
+        elif plain:
+            ids = []
+            for part in _PARTS.findall(lower):
+                n = self._part(part)
+                ids += self.ids[self.starts[n] : self.starts[n + 1]]
+            number = self._entry(ids)
         else:
-            self.ids.extend(self.tokenizer.encode(piece, add_special_tokens=False).ids)
-        self.starts.append(len(self.ids))
-        number = self.place[piece] = len(self.starts) - 2
+            number = self._entry(self.tokenizer.encode(piece, add_special_tokens=False).ids)
+        self.place[piece] = number
         return number
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -68,14 +81,17 @@ class Encoder:
             self._forget()
         pieces = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         coded = pieces.flatten().dictionary_encode()
-        place, learn = self.place, self._learn
-        numbers = np.array([place[w] if w in place else learn(w) for w in coded.dictionary.to_pylist()], dtype=np.int64)
-        store, starts = np.array(self.ids, dtype=np.uint32), np.array(self.starts)
-        which = numbers[coded.indices.to_numpy(zero_copy_only=False)] if len(numbers) else numbers
-        lens = (starts[1:] - starts[:-1])[which]
+        known, learn = self.place.get, self._learn
+        numbers = [known(w) for w in coded.dictionary.to_pylist()]
+        if None in numbers:
+            numbers = [learn(w) if n is None else n for n, w in zip(numbers, coded.dictionary.to_pylist(), strict=True)]
+        store, starts = np.frombuffer(self.ids, dtype=np.uint32), np.frombuffer(self.starts, dtype=np.int64)
+        which = np.array(numbers, dtype=np.int64)[coded.indices.to_numpy(zero_copy_only=False)]
+        first = starts[which]
+        lens = starts[which + 1] - first
         ends = np.cumsum(lens)
         total = int(ends[-1]) if len(ends) else 0
-        ids = store[np.repeat(starts[which] - (ends - lens), lens) + np.arange(total)]
+        ids = store[np.repeat(first - (ends - lens), lens) + np.arange(total)] if total else np.zeros(0, dtype=np.uint32)
         bounds = np.concatenate([[0], ends])[pieces.offsets.to_numpy() - pieces.offsets[0].as_py()]
         return ids, bounds
 
