@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -13,7 +12,7 @@ from marketday.functions.text import STATEMENT_CHARS
 from marketday.operators.rebuild import cutoff_date, in_window, rebuild_partitions
 from marketday.plans import anomalies, marts, quality
 from marketday.plans.views import Tables
-from marketday.session import stage
+from marketday.session import drop_path, exists, scratch_path
 from marketday.sources.schemas import MART
 
 # What each step reports.
@@ -33,12 +32,17 @@ def now_column():
 
 
 def read_mart(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """A mart or log table below ``root``; empty while nothing has been written."""
-    schema = MART[name] if name in MART else RUN_LOG
-    try:
-        return spark.read.schema(schema).parquet(f"{root}/{name}")
-    except AnalysisException:
+    """A mart or log table below ``root``; empty while nothing has been written.
+
+    A folder that does not hold the declared columns is an error.
+    """
+    schema, path = MART[name] if name in MART else RUN_LOG, f"{root}/{name}"
+    if not exists(spark, path):
         return spark.createDataFrame([], schema)
+    lost = set(StructType.fromDDL(schema).fieldNames()) - set(spark.read.parquet(path).columns)
+    if lost:
+        raise ValueError(f"{path} has no column {', '.join(sorted(lost))}")
+    return spark.read.schema(schema).parquet(path)
 
 
 def shaped(df: DataFrame, name: str, **defaults) -> DataFrame:
@@ -52,22 +56,32 @@ def shaped(df: DataFrame, name: str, **defaults) -> DataFrame:
 class DailyRun:
     """The four steps over one mart folder and one as-of date.
 
-    Every step may be repeated: window tables are rebuilt, the log grows.  The order lines of the
-    window are joined once, staged in the shared folder and used by the fact and the KPI step.
+    Every step may be repeated: window tables are rebuilt from the orders as they are then, the log grows.  Within
+    one ``run`` the order lines of the window are joined once, staged in the shared folder, used by the fact and
+    the KPI step, and dropped.
     """
 
     def __init__(self, spark: SparkSession, tables: Tables, root: str, as_of: dt.date):
         self.spark, self.tables, self.root, self.as_of = spark, tables, root, as_of
-        self._orders: dict[int, DataFrame] = {}
+        self._staged: dict[int, str] | None = None  # only during a run
 
     def orders(self, days_back: int) -> DataFrame:
-        if days_back not in self._orders:
-            needed = marts.window_orders(self.tables, self.as_of, days_back).select(
-                "order_id", "order_ts", "menu_item_id", "menu_item_name", "truck_brand_name", "country",
-                "location_id", "customer_id", "quantity", "price",
-            )
-            self._orders[days_back] = stage(needed, "window-orders")
-        return self._orders[days_back]
+        needed = marts.window_orders(self.tables, self.as_of, days_back).select(
+            "order_id", "order_ts", "menu_item_id", "menu_item_name", "truck_brand_name", "country",
+            "location_id", "customer_id", "quantity", "price",
+        )
+        if self._staged is None:
+            return needed
+        if days_back not in self._staged:
+            self._staged[days_back] = scratch_path(self.spark, "window-orders")
+            needed.write.parquet(self._staged[days_back])
+        return self.spark.read.schema(needed.schema).parquet(self._staged[days_back])
+
+    def facts(self) -> DataFrame:
+        """The fact table, which must have been built."""
+        if not exists(self.spark, f"{self.root}/fact_daily_item_sales"):
+            raise FileNotFoundError(f"no facts below {self.root}: build_fact comes first")
+        return self.mart("fact_daily_item_sales")
 
     def mart(self, name: str) -> DataFrame:
         return read_mart(self.spark, self.root, name)
@@ -82,19 +96,23 @@ class DailyRun:
 
     def build_kpi(self, days_back: int = marts.DEFAULT_DAYS, per_line: bool = False) -> int:
         rows = marts.build_kpi(
-            self.mart("fact_daily_item_sales"), self.orders(days_back), self.as_of, days_back, per_line
+            self.facts(), self.orders(days_back), self.as_of, days_back, per_line
         )
         return self._rebuild(rows, "kpi_daily_brand", days_back, "last_updated_at")
 
     def run_checks(self, days_back: int = quality.DEFAULT_DAYS) -> int:
-        rows = quality.fact_checks(self.mart("fact_daily_item_sales"), self.as_of, days_back)
-        rows = stage(shaped(rows, "dq_results", run_ts=now_column()), "checks")
-        rows.write.mode("append").parquet(f"{self.root}/dq_results")
-        return rows.count()
+        rows = quality.fact_checks(self.facts(), self.as_of, days_back)
+        path, own = f"{self.root}/dq_results", scratch_path(self.spark, "checks")
+        shaped(rows, "dq_results", run_ts=now_column()).write.parquet(own)
+        rows = self.spark.read.schema(MART["dq_results"]).parquet(own)
+        rows.write.mode("append").parquet(path)
+        found = rows.count()
+        drop_path(self.spark, own)
+        return found
 
     def detect(self, days_back: int = anomalies.DEFAULT_DAYS, as_written: bool = False) -> int:
         rows = anomalies.detect_anomalies(
-            self.mart("fact_daily_item_sales"), self.as_of, days_back, as_written
+            self.facts(), self.as_of, days_back, as_written
         )
         return self._rebuild(rows, "sales_anomalies", days_back, "detected_at")
 
@@ -106,7 +124,7 @@ class DailyRun:
             ("run_checks", self.run_checks, days_back),
             ("detect", self.detect, max(days_back, anomalies.DEFAULT_DAYS)),
         ]
-        log, failure = [], None
+        log, failure, self._staged = [], None, {}
         for name, step, days in steps:
             try:
                 log.append((name, True, step(days), "", MESSAGES[name].format(days)))
@@ -114,6 +132,9 @@ class DailyRun:
                 failure = error
                 log.append((name, False, 0, str(error)[:STATEMENT_CHARS], ""))
                 break
+        for path in self._staged.values():
+            drop_path(self.spark, path)
+        self._staged = None
         columns = ("step", "success", "rows_affected", "error", "message")
         entries = F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip(columns, row)]) for row in log])
         rows = self.spark.range(1).select(F.inline(entries)).withColumn("rows_affected", F.col("rows_affected").cast("bigint"))

@@ -14,28 +14,28 @@ from marketday.functions.text import language_label
 def column_dictionary(table: str, df: DataFrame) -> DataFrame:
     """One row per column: position, type, nullability, and measured rows, NULLs and distinct values.
 
-    One scan: rows are turned into (position, value) pairs and counted per distinct value, which
-    combines on the map side and spreads every column's values over all tasks; the second step adds
-    up per position.  Long values travel as their SHA-256 digest.
+    Rows and NULLs are added up in one pass without moving a value.  For the distinct values, (position, value)
+    pairs are counted once each, which combines on the map side and spreads every column over all
+    tasks; long values travel as their SHA-256 digest.  0.0 and -0.0 are one value.
     """
     fields = df.schema.fields
 
     def value(field) -> Column:
-        text = F.col(field.name).cast("string")
-        if isinstance(field.dataType, StringType) or field.dataType.simpleString().startswith("array"):
+        kind = field.dataType.simpleString()
+        text = (F.col(field.name) + 0.0 if kind in ("double", "float") else F.col(field.name)).cast("string")
+        if isinstance(field.dataType, StringType) or kind.startswith("array"):
             return F.when(F.length(text) > 64, F.sha2(text, 256)).otherwise(text)
         return text
 
     pairs = df.select(
         F.explode(F.array(*[F.struct(F.lit(i).alias("i"), value(f).alias("v")) for i, f in enumerate(fields)])).alias("p")
-    ).select("p.i", "p.v")
-    measured = (
-        pairs.groupBy("i", "v").agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("i").agg(
-            F.sum("n").alias("row_count"),
-            F.sum(F.when(F.col("v").isNull(), F.col("n")).otherwise(0)).alias("null_count"),
-            F.count("v").alias("distinct_count"),
-        )
+    ).select("p.i", "p.v").filter("v IS NOT NULL")
+    distinct = pairs.distinct().groupBy("i").agg(F.count("v").alias("d"))
+    filled = df.agg(F.count(F.lit(1)).alias("n"), *[F.count(f.name).alias(f"c{i}") for i, f in enumerate(fields)])
+    counts = filled.select("n", F.posexplode(F.array(*[F.col(f"c{i}") for i in range(len(fields))])).alias("i", "filled"))
+    measured = counts.join(distinct, "i", "left").select(
+        "i", F.col("n").alias("row_count"), (F.col("n") - F.col("filled")).alias("null_count"),
+        F.coalesce("d", F.lit(0)).alias("distinct_count"),
     )
 
     def described(values: list) -> Column:

@@ -104,7 +104,8 @@ def reviews_v(t: Tables) -> DataFrame:
     are then distinct by themselves, so the review text is never part of a many-to-many blow-up
     that a later DISTINCT would have to shuffle again.
     """
-    reviews = t["truck_reviews"].distinct()
+    # Dealt out by the join's key before they are made distinct: one shuffle of the texts serves both.
+    reviews = t["truck_reviews"].repartition("order_id").distinct()
     brands = t["menu"].select("menu_type_id", "truck_brand_name").distinct()
     sold = (
         t["order_header"].select("order_id", "truck_id", "customer_id", F.to_date("order_ts").alias("date"))

@@ -1,14 +1,15 @@
-"""Registered queries: loads, exports and file listings."""
+"""Registered queries: loads and exports."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from marketday.plans import glossary
-from marketday.registry.base import Registry, roles, source
+from marketday.plans import glossary, inventory
+from marketday.registry.base import Registry, roles, source, with_roles
 from marketday.registry.governance import EDGES_SQL, R as GOVERNANCE, documents, edges
 from marketday.session import scratch_path
-from marketday.sources.loads import list_files, load_csv, load_relations, with_variant
+from marketday.sources.loads import load_csv, load_files, load_relations, with_variant
 from marketday.sources.schemas import RAW
 from marketday.sources.sinks import append_rows, export_csv
 from marketday.streaming.increment import load_new_csv
@@ -74,10 +75,72 @@ def src_edge_csv(spark, sf_dir):
     return load_relations(spark, path)
 
 
-@R.add("src_file_inventory")
-def src_file_inventory(spark, sf_dir):
-    """The files of the data folder with their sizes."""
-    return list_files(spark, sf_dir).select(F.regexp_extract("path", "([^/]+)$", 1).alias("file"), "length")
+def _shown(kind: str, column: str) -> str:
+    """A role column as DuckDB prints what :func:`plain` makes of its declared type."""
+    if kind.startswith("timestamp"):
+        return f"strftime({column}, '%Y-%m-%d %H:%M:%S')"
+    return f"CAST({column} AS {'DOUBLE' if kind.startswith(('decimal', 'double')) else 'BIGINT' if kind in ('bigint', 'int') else 'VARCHAR'})"
+
+
+#: the columns that the test tables fill, and whether the load must keep quoted text
+FILLED = {
+    "country": ["country_id", "country"],
+    "franchise": ["franchise_id", "first_name", "last_name"],
+    "location": ["location_id"],
+    "menu": ["menu_type_id", "menu_type", "truck_brand_name", "menu_item_id", "menu_item_name"],
+    "truck": ["truck_id", "menu_type_id", "primary_city", "region", "country", "franchise_flag", "franchise_id"],
+    "order_detail": ["order_detail_id", "order_id", "menu_item_id", "line_number", "quantity", "unit_price", "price"],
+    "customer_loyalty": ["customer_id", "first_name", "last_name", "city", "country", "gender", "marital_status", "children_count", "e_mail", "phone_number"],
+    "truck_reviews": ["order_id", "language", "source", "review", "review_id"],
+}
+ROLE_TABLE = {"country": "(SELECT r_regionkey AS country_id, r_name AS country FROM region)"}
+
+
+def _load_query(role: str, columns: list[str]) -> None:
+    kinds = {f.name: f.dataType.simpleString() for f in StructType.fromDDL(RAW[role]).fields}
+    sql = ", ".join(f"{_shown(kinds[c], c)} AS {c}" for c in columns)
+
+    def load(spark, sf_dir):
+        path = scratch_path(spark, f"load-{role}")
+        _as_csv(roles(spark, sf_dir)[role], path)
+        return load_csv(spark, path, RAW[role], multiLine="true").select(*columns)
+
+    load.__doc__ = f"The {role} table loaded from CSV files into its declared types."
+    R.add(f"src_csv_{role}", with_roles(f"SELECT {sql} FROM {ROLE_TABLE.get(role, role)}"))(load)
+
+
+for _role, _columns in FILLED.items():
+    _load_query(_role, _columns)
+
+
+@R.add("src_csv_types", """
+SELECT o_orderkey AS id, CAST(o_totalprice AS DOUBLE) AS amount, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day,
+       strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS ts, 'said "' || o_orderpriority || '", then' AS quoted,
+       o_custkey AS k FROM orders""")
+def src_csv_types(spark, sf_dir):
+    """Decimals, dates, times, quoted text and JSON text in one load."""
+    path, c = scratch_path(spark, "load-types"), F.col
+    rows = source(spark, sf_dir, "orders").select(
+        "o_orderkey", c("o_totalprice").cast("decimal(18,4)"), F.to_date("o_orderdate"), "o_orderdate",
+        F.concat(F.lit('said "'), "o_orderpriority", F.lit('", then')), F.to_json(F.struct(c("o_custkey").alias("k"), F.lit("a,b").alias("v"))),
+    )
+    _as_csv(rows, path)
+    loaded = load_csv(spark, path, "id bigint, amount decimal(18,4), day date, ts timestamp_ntz, quoted string, obj string")
+    return with_variant(loaded, "obj").select("id", "amount", "day", "ts", "quoted", F.variant_get("obj", "$.k", "bigint").alias("k"))
+
+
+@R.add("src_whole_files", """
+WITH files AS (SELECT doc_id % 8 AS part, string_agg(text, chr(10) ORDER BY doc_id) AS content FROM documents GROUP BY ALL)
+SELECT 'SQL' AS language, CAST(sum(length(content) + 1) AS BIGINT) AS chars, count(*) AS files FROM files""")
+def src_whole_files(spark, sf_dir):
+    """Documents written as eight text files, read whole and measured as code files."""
+    path = scratch_path(spark, "whole-files")
+    docs = source(spark, sf_dir, "documents")
+    for part in range(8):  # a file for each remainder; the folder names the suffix
+        docs.filter(F.col("doc_id") % 8 == part).orderBy("doc_id").coalesce(1).select("text").write.option("lineSep", "\n").text(f"{path}/{part}")
+    files = load_files(spark, path).select(F.regexp_replace("name", "[.]txt$", ".sql").alias("name"), "content")
+    found = inventory.corpus_inventory(files)
+    return found.groupBy("language").agg(F.sum("chars").alias("chars"), F.count(F.lit(1)).alias("files"))
 
 
 @R.add("sink_csv_roundtrip", GOVERNANCE.sql["glossary_columns"].replace("SELECT p_partkey AS doc_id, 'part' AS \"table\", p_name AS \"column\", p_brand AS definition", "SELECT 'part' AS \"Table\", p_name AS \"Column\", p_brand AS \"Definition\"").replace("AS synonyms", 'AS "Synonyms"'))

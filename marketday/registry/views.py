@@ -111,7 +111,7 @@ SELECT CAST(customer_id AS VARCHAR) AS customer_id, city, country, total_sales,
   SELECT c.customer_id, c.city, c.country, CAST(sum(o.order_total) AS DOUBLE) AS total_sales,
          list_aggregate(list_sort(list(DISTINCT CAST(o.location_id AS VARCHAR))), 'string_agg', ',') AS locations
   FROM customer_loyalty c JOIN orders_v o ON c.customer_id = o.customer_id
-  GROUP BY ALL ORDER BY c.customer_id LIMIT 10000)"""))
+  GROUP BY ALL ORDER BY c.customer_id LIMIT 100)"""))
 def v_semantic_loyalty(spark, sf_dir):
-    df = views.semantic_loyalty_v(roles(spark, sf_dir))
+    df = views.semantic_loyalty_v(roles(spark, sf_dir), cap=100)
     return df.withColumn("locations", F.array_join("visited_location_ids_array", ",")).drop("visited_location_ids_array")

@@ -55,6 +55,22 @@ def own_folder(spark: SparkSession) -> None:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="marketday-"))
 
 
+def _at(spark: SparkSession, path: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, at = _at(spark, path)
+    return fs.exists(at)
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Remove one folder that this job has written."""
+    fs, at = _at(spark, path)
+    fs.delete(at, True)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new, unused path below the shared folder."""
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"

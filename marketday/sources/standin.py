@@ -38,7 +38,6 @@ TEST_SCHEMAS = {
 }
 TEST_TABLES = tuple(TEST_SCHEMAS)
 MEMBER_SEGMENT = "BUILDING"
-SMALL_TABLE_ROWS = 100_000
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -100,14 +99,11 @@ class RoleTables(dict):
 
     def _truck(self) -> DataFrame:
         c = F.col
-        trucks = _conform(
+        return _conform(
             self._read("supplier").join(self._places(), c("s_nationkey") == c("n_nationkey")), "truck",
             truck_id=c("s_suppkey"), menu_type_id=c("s_suppkey") % 50 + 1, primary_city=c("s_name"),
             region=c("n_name"), country=c("r_name"), franchise_flag=F.lit(1), franchise_id=c("s_nationkey"),
         )
-        # A stored truck table would be broadcast by its size; Spark takes a join of three tables for
-        # far bigger than it is, so here the counted rows decide.
-        return F.broadcast(trucks) if self.n_trucks <= SMALL_TABLE_ROWS else trucks
 
     def _menu(self) -> DataFrame:
         c = F.col

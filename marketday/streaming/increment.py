@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+from marketday.session import exists
 from marketday.sources.loads import CSV_OPTIONS
 
 
@@ -16,10 +17,14 @@ def load_new_csv(
     folder, and the Parquet sink commits each batch once, so a run that is repeated after a failure
     adds nothing twice.  Read the table through Spark, which honours the sink's commit log.
     """
+    def rows() -> int:  # from the files' footers, of committed batches only
+        return spark.read.schema(schema).parquet(table).count() if exists(spark, table) else 0
+
+    before = rows()
     stream = (
         spark.readStream.schema(schema).options(**{**CSV_OPTIONS, **options}).csv(source)
         .writeStream.format("parquet").option("path", table).option("checkpointLocation", state)
         .outputMode("append").trigger(availableNow=True).start()
     )
     stream.awaitTermination()
-    return sum(p["numInputRows"] for p in stream.recentProgress)
+    return rows() - before

@@ -61,6 +61,13 @@ def test_a_run_takes_only_new_files(spark, tmp_path):
     assert sorted(map(tuple, spark.read.parquet(table).collect())) == [(1, "x"), (2, "y"), (3, "z")]
 
 
+def test_all_rows_of_many_batches_are_counted(spark, tmp_path):
+    folder, table, state = str(tmp_path / "in"), str(tmp_path / "t"), str(tmp_path / "s")
+    for i in range(104):  # a query's progress keeps a hundred batches
+        write(tmp_path / "in", f"{i}.csv", f"{i},x\n")
+    assert load_new_csv(spark, folder, "id int, v string", table, state, maxFilesPerTrigger="1") == 104
+
+
 def test_relations_keep_every_field_as_text(spark, tmp_path):
     write(tmp_path, "rel.csv", 'from,to,n\na,"b, ""c""",007\n')
     df = loads.load_relations(spark, str(tmp_path / "rel.csv"))
@@ -109,6 +116,9 @@ class Session:
     def get(self, key, default=None):
         return self.settings.get(key, default)
 
+    def getCheckpointDir(self):
+        return None
+
 
 def test_shared_folder_is_the_named_one():
     named = Session("spark://cluster:7077", {"spark.checkpoint.dir": "hdfs://shared/x"})
@@ -120,4 +130,5 @@ def test_shared_folder_is_the_named_one():
 def test_no_machine_local_folder_on_a_cluster():
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         session.shared_dir(Session("yarn", {}))
-    assert session.shared_dir(Session("local[4]", {}))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_dir(Session("local[4]", {}))
