@@ -15,8 +15,8 @@ from marketday.llm import tokens
 from marketday.llm.common import Scratch, gapless
 
 CAPACITY, END = 2048, 0
-GROUPS = 64  # sizes the large lengths are rounded up to
-LARGE = 8  # lengths over capacity / LARGE are large
+GROUPS = 96  # sizes the large lengths are rounded up to
+LARGE = (2, 3, 4, 8)  # lengths over capacity / LARGE are large; each is tried until nothing can be better
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
@@ -83,13 +83,63 @@ def _fullest(sizes: list[int], counts: list[int], first: int, capacity: int) ->
     return taken
 
 
+def _best_pattern(sizes: np.ndarray, worth: np.ndarray, capacity: int) -> tuple[np.ndarray, float]:
+    """The configuration of most worth, any number of each size (knapsack by dynamic programming over the room)."""
+    best, choice = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+    up = np.argsort(sizes)
+    s, w = sizes[up], worth[up]
+    fitting = np.searchsorted(s, np.arange(capacity + 1), side="right")
+    for room in range(int(s[0]), capacity + 1):
+        value = best[room - s[: fitting[room]]] + w[: fitting[room]]
+        k = int(value.argmax())
+        if value[k] > best[room - 1]:
+            best[room], choice[room] = value[k], up[k]
+        else:
+            best[room] = best[room - 1]
+    pattern, room = np.zeros(len(sizes)), capacity
+    while room > 0:
+        if choice[room] < 0:
+            room -= 1
+        else:
+            pattern[choice[room]] += 1
+            room -= int(sizes[choice[room]])
+    return pattern, float(best[capacity])
+
+
+def fractional(sizes: list[int], counts: list[int], capacity: int) -> list[tuple[list[int], float]]:
+    """The fewest sequences if they could be split: configurations with how often to use each.
+
+    The linear programme is solved by column generation: from one size to a sequence, configurations of most worth at
+    the prices of the moment come in one by one, until none is worth more than a sequence.
+    """
+    size, need = np.array(sizes), np.array(counts, dtype=np.float64)
+    basis = np.diag(np.floor(capacity / size))
+    used = need / np.diag(basis)
+    for _ in range(20 * len(sizes)):
+        pattern, worth = _best_pattern(size, np.linalg.solve(basis.T, np.ones(len(size))), capacity)
+        if worth <= 1 + 1e-7:
+            break
+        step = np.linalg.solve(basis, pattern)
+        ratio = np.where(step > 1e-9, np.maximum(used, 0) / np.where(step > 1e-9, step, 1), np.inf)
+        out = int(ratio.argmin())
+        used = used - ratio[out] * step
+        used[out] = ratio[out]
+        basis[:, out] = pattern
+    return [([int(n) for n in basis[:, k]], float(used[k])) for k in range(len(sizes))]
+
+
 def configurations(sizes: list[int], counts: list[int], capacity: int) -> list[tuple[list[int], int]]:
     """[(how many of each size, how many sequences)] for all pieces of few sizes.
 
-    The largest size left is combined with others into the fullest sequence, which is repeated as long as all
-    its sizes last; every round uses a size up, so there are few rounds.
+    The linear programme's configurations, as often as it uses them rounded down.  For what is left, a few pieces of each
+    size, the largest is combined with others into the fullest sequence, as long as its sizes last.
     """
     left, out = list(counts), []
+    for taken, times in fractional(sizes, counts, capacity) if sizes else []:
+        times = min([int(times + 1e-9), *[left[i] // n for i, n in enumerate(taken) if n]])
+        if times:
+            left = [n - times * t for n, t in zip(left, taken, strict=True)]
+            out.append((taken, times))
     while any(left):
         first = next(i for i, n in enumerate(left) if n)
         taken = _fullest(sizes, left, first, capacity)
@@ -100,12 +150,24 @@ def configurations(sizes: list[int], counts: list[int], capacity: int) -> list[t
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS) -> list[tuple[int, int, int, int, int]]:
+    """The plan with the fewest sequences, whichever lengths are taken as large."""
+    least, best, fewest = -(-sum(n * c for n, c in counts.items()) // capacity), [], None
+    for large in LARGE:
+        steps, used = _plan(counts, capacity, groups, large)
+        if fewest is None or used < fewest:
+            best, fewest = steps, used
+        if fewest == least:
+            break
+    return best
+
+
+def _plan(counts: dict[int, int], capacity: int, groups: int, large: int) -> tuple[list[tuple[int, int, int, int, int]], int]:
     """Where pieces go, from how many there are of each length: (length, first rank, ranks, first sequence, offset).
 
     The pieces of a length with ranks first .. first + ranks - 1 go to that many sequences from the first one on,
-    one to each, at the offset.  Works on lengths with counts, so its size depends on the capacity only.
+    one to each, at the offset; and the number of sequences.  Works on lengths with counts, so its size depends on the capacity only.
     """
-    big = {n: c for n, c in counts.items() if n * LARGE > capacity}
+    big = {n: c for n, c in counts.items() if n * large > capacity}
     runs = grouped(big, groups)
     sizes = sorted({size for size, _ in runs}, reverse=True)
     stock: dict[int, list[tuple[int, int]]] = defaultdict(list)  # actual lengths for each rounded size, largest first
@@ -160,7 +222,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS)
                     if rest not in free:
                         bisect.insort(rooms, rest)
                     free[rest].append(part)
-    return out
+    return out, next_seq
 
 
 def cut(docs: DataFrame, capacity: int = CAPACITY, end: int = END, tokenizer: str | None = None, keep_ids: bool = True) -> DataFrame:

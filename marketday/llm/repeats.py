@@ -372,8 +372,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, group: int = GROUP, ke
     marks = scratch.put(marks.groupBy("r1", "r2").agg(F.collect_set(F.struct("x", "y")).alias("_marks")), "marks")
     for name in ("contexts", "counted", "entries"):
         scratch.drop(name)
-    keyed = docs.drop("n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept").withColumns({"r1": r1, "r2": r2, "_raw": raw})
-    joined = keyed.join(marks, ["r1", "r2"], "left").drop("r1", "r2", "text").withColumn("n_bytes", F.octet_length("_raw").cast("long"))
+    keyed = docs.drop("n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept").withColumns({"_r1": r1, "_r2": r2, "_raw": raw})
+    marks = marks.withColumnsRenamed({"r1": "_r1", "r2": "_r2"})
+    joined = keyed.join(marks, ["_r1", "_r2"], "left").drop("_r1", "_r2", "text").withColumn("n_bytes", F.octet_length("_raw").cast("long"))
     kind = [f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema if f.name not in ("_raw", "_marks")]
     kind += ["n_removed bigint", "n_spans bigint", "kept_sha256 string"] + ["spans array<struct<start:bigint,stop:bigint>>", "kept binary"] * keep
     return joined.mapInArrow(_removed(keep), ", ".join(kind))
