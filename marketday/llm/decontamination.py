@@ -1,7 +1,15 @@
-"""Benchmark decontamination by spaced seeds: masks that skip token positions find overlaps with substitutions."""
+"""Benchmark decontamination by spaced seeds: masks that skip token positions find overlaps with substitutions.
+
+A judged stretch of n words may differ in s of them.  Its positions fall into s + 1 classes by their remainder, and a
+substitution touches one class, so at least one class is untouched: a mask of every (s + 1)-th position, tried at
+all places, hits every overlap there is.  Longer items are judged in stretches of 20 words, with four substitutions
+and the mask 1000010000100001.
+"""
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -12,9 +20,6 @@ from pyspark.sql import functions as F
 from marketday.llm.common import Scratch, row_key
 from marketday.llm.tokens import slices
 
-#: 8 of 12 positions each; a window hits where the tokens at a mask's positions are equal
-MASKS = ("110110101101", "111010011011", "101101110110")
-SPAN = len(MASKS[0])
 MIN_ITEM = 5  # items of fewer words carry no passage and match nothing
 STRETCH = 20  # aligned words judged together; a shorter item is judged whole
 SHARE = 0.8  # of a stretch that must be equal
@@ -62,10 +67,16 @@ def seeds(words: np.ndarray, offsets: tuple[int, ...], salt: int) -> np.ndarray:
     return h
 
 
-def shapes(short: list[int]) -> list[tuple[tuple[int, ...], int]]:
-    """(offsets, salt) of the masks, and of whole items too short for a mask."""
-    out = [(tuple(i for i, c in enumerate(m) if c == "1"), k) for k, m in enumerate(MASKS)]
-    return out + [(tuple(range(n)), 100 + n) for n in short]
+def _masks(n: int) -> list[tuple[int, int]]:
+    """(distance, positions) of the masks of an item of ``n`` words: one for a long item, one for each class of a short one."""
+    need = min(STRETCH, n)
+    apart = need - math.ceil(SHARE * need - 1e-9) + 1
+    return [(apart, -(-(need - c) // apart)) for c in range(apart)]
+
+
+def shapes(lengths: list[int]) -> list[tuple[tuple[int, ...], int]]:
+    """(offsets, salt) of all masks that items of these lengths need."""
+    return [(tuple(range(0, d * k, d)), 100 * d + k) for d, k in sorted({m for n in lengths for m in _masks(n)})]
 
 
 def _items(batches):
@@ -76,23 +87,20 @@ def _items(batches):
         yield pa.RecordBatch.from_arrays([ids, pa.array(each, pa.list_(pa.int64()))], names=["item_id", "words"])
 
 
-def _item_seeds(short: list[int]):
-    def run(batches):
-        for batch in batches:
-            out: list[list] = [[], [], []]
-            for item, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = np.array(words, dtype=np.int64).view(np.uint64)
-                for offsets, salt in shapes([len(words)] if len(words) < SPAN else []):
-                    h = seeds(words, offsets, salt)
-                    out[0] += h.view(np.int64).tolist()
-                    out[1] += [item] * len(h)
-                    out[2] += range(len(h))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["h", "item_id", "at"])
-
-    return run
-
-
-def _clusters(filter_bits: np.ndarray, short: list[int], reach: int):
+def _item_seeds(batches):
+    for batch in batches:
+        out: list[list] = [[], [], []]
+        for item, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            words = np.array(words, dtype=np.int64).view(np.uint64)
+            for offsets, salt in shapes([len(words)]):
+                h = seeds(words, offsets, salt)
+                out[0] += h.view(np.int64).tolist()
+                out[1] += [item] * len(h)
+                out[2] += range(len(h))
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["h", "item_id", "at"])
+
+
+def _clusters(filter_bits: np.ndarray, lengths: list[int], reach: int):
     """Rows for the neighbourhoods of filter hits: their words, and the hits."""
     low = np.uint64((1 << FILTER_BITS) - 1)
 
@@ -103,12 +111,14 @@ def _clusters(filter_bits: np.ndarray, short: list[int], reach: int):
                 part = batch.slice(start, stop - start)
                 words, bounds = words_of(pc.fill_null(part.column(3), ""))
                 found, hashes = [], []
-                for offsets, salt in shapes(short):
+                for offsets, salt in shapes(lengths):
                     h = seeds(words, offsets, salt)
                     at = np.flatnonzero(bits[h & low])
                     inside = at + offsets[-1] < bounds[np.searchsorted(bounds, at, side="right")]
                     found.append(at[inside])
                     hashes.append(h[at[inside]])
+                if not found:  # no items
+                    continue
                 at, h = np.concatenate(found), np.concatenate(hashes).view(np.int64)
                 order = np.argsort(at, kind="stable")
                 at, h = at[order], h[order]
@@ -120,7 +130,7 @@ def _clusters(filter_bits: np.ndarray, short: list[int], reach: int):
                 out: list[list] = [[], [], [], [], [], []]
                 for a, b in zip(edges[:-1], edges[1:], strict=True):
                     d = int(doc[a])
-                    first, last = max(bounds[d], at[a] - reach), min(bounds[d + 1], at[b - 1] + SPAN + reach)
+                    first, last = max(bounds[d], at[a] - reach), min(bounds[d + 1], at[b - 1] + reach)
                     row = (
                         keys[0][d], keys[1][d], keys[2][d], int(first - bounds[d]), words[first:last].view(np.int64),
                         [{"h": int(x), "pos": int(p - bounds[d])} for x, p in zip(h[a:b], at[a:b], strict=True)],
@@ -182,9 +192,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         .where(F.size("words") >= MIN_ITEM).groupBy("words").agg(F.min("item_id").alias("item_id")).select("item_id", "words")
     )
     items = scratch.put(items, "items")
-    short = sorted(r[0] for r in items.where(F.size("words") < SPAN).select(F.size("words")).distinct().collect())
+    lengths = [r[0] for r in items.select(F.least(F.size("words"), F.lit(STRETCH))).distinct().collect()]
     reach = items.agg(F.max(F.size("words"))).first()[0] or 0
-    own = scratch.put(items.mapInArrow(_item_seeds(short), "h bigint, item_id bigint, at bigint").distinct(), "own")
+    own = scratch.put(items.mapInArrow(_item_seeds, "h bigint, item_id bigint, at bigint").distinct(), "own")
     slot = F.col("h").bitwiseAND(F.lit((1 << FILTER_BITS) - 1)).alias("s")
     maps = own.select(slot).groupBy(F.expr("s div 32768").alias("k")).agg(F.expr("bitmap_construct_agg(s % 32768)").alias("m")).collect()
     bits = np.zeros((1 << FILTER_BITS) // 8, dtype=np.uint8)
@@ -193,7 +203,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     r1, r2 = row_key("doc_id", text)
     rows = docs.select(r1.alias("r1"), r2.alias("r2"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    near = scratch.put(rows.mapInArrow(_clusters(bits, short, reach), WORDS).dropDuplicates(["r1", "r2", "base"]), "near")
+    near = scratch.put(rows.mapInArrow(_clusters(bits, lengths, reach), WORDS).dropDuplicates(["r1", "r2", "base"]), "near")
     aligned = (
         near.select("r1", "r2", "base", F.explode("hits").alias("x")).select("r1", "r2", "base", "x.h", "x.pos")
         .join(own, "h").select("r1", "r2", "base", "item_id", (F.col("pos") - F.col("at")).alias("shift")).distinct()
