@@ -82,7 +82,7 @@ def pooled(act: np.ndarray, chunk_at: np.ndarray, text_at: np.ndarray) -> tuple[
     pool = np.maximum.reduceat(act, chunk_at, axis=0)
     n = np.diff(np.append(text_at, len(pool)))[:, None]
     mean = np.add.reduceat(pool, text_at, axis=0) / n
-    return pool, np.hstack([mean, np.maximum.reduceat(pool, text_at, axis=0), np.ones_like(n)]).astype(np.float32)
+    return pool, np.hstack([mean, np.maximum.reduceat(pool, text_at, axis=0), np.ones_like(n)]).astype(act.dtype)
 
 
 def logits(net: Net, texts: list[bytes]) -> np.ndarray:
