@@ -345,7 +345,11 @@ def overlaps(text, item):
     need = min(20, len(b))
     if len(b) < 5:
         return False
-    for shift in range(-len(b), len(t)):
+    at = collections.defaultdict(list)
+    for i, w in enumerate(b):
+        at[w].append(i)
+    shifts = collections.Counter(j - i for j, w in enumerate(t) for i in at.get(w, ()))
+    for shift in [s for s, n in shifts.items() if n >= 0.8 * need]:
         same = [0 <= i + shift < len(t) and t[i + shift] == b[i] for i in range(len(b))]
         inside = [0 <= i + shift < len(t) for i in range(len(b))]
         for i in range(len(b) - need + 1):
