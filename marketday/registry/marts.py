@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from marketday.operators.rebuild import cutoff_date, in_window, rebuild_partitions, rebuilt
 from marketday.plans import anomalies, marts, quality, views
 from marketday.plans.daily_run import DailyRun
-from marketday.registry.base import AS_OF, Registry, brand_fact, roles, shown, shown_sql, stored, with_fact
+from marketday.registry.base import AS_OF, Registry, brand_fact, roles, shown, shown_sql, stored, with_fact, with_roles
 from marketday.session import scratch_path
-from marketday.sources.standin import latest_order_date
+from marketday.sources.standin import RoleTables, latest_order_date
 
 R = Registry()
 
@@ -66,10 +66,17 @@ FROM fact LEFT JOIN lines USING (date, truck_brand_name) WHERE date >= {AS_OF} -
 GROUP BY date, truck_brand_name""")
 
 
+def _narrow(orders):
+    """What facts and KPIs need of the order view, written once: one star join serves both sides of the KPI."""
+    return stored(orders.select(
+        "order_id", "order_ts", "menu_item_id", "menu_item_name", "truck_brand_name", "country", "location_id", "customer_id", "quantity", "price"
+    ))
+
+
 def _kpi(spark, sf_dir, per_line):
     t = roles(spark, sf_dir)
     as_of = latest_order_date(t)
-    orders = marts.window_orders(t, as_of, marts.DEFAULT_DAYS)
+    orders = _narrow(marts.window_orders(t, as_of, marts.DEFAULT_DAYS))
     return marts.build_kpi(marts.daily_item_sales(orders), orders, as_of, marts.DEFAULT_DAYS, per_line)
 
 
@@ -88,36 +95,59 @@ def p_kpi_brand_as_written(spark, sf_dir):
 @R.add("p_kpi_brand_history", _kpi_sql("", False))
 def p_kpi_brand_history(spark, sf_dir):
     """Brand KPIs of all days."""
-    orders = views.orders_v(roles(spark, sf_dir))
+    orders = _narrow(views.orders_v(roles(spark, sf_dir)))
     return marts.brand_kpi(marts.daily_item_sales(orders), orders)
 
 
-@R.add("p_dq_report", with_fact("""
-, dup AS (SELECT count(*) AS n FROM (SELECT 1 FROM fact GROUP BY date, menu_item_id, location_id HAVING count(*) > 1))
-SELECT 'FACT_NULL_KEYS' AS check_name, 'ERROR' AS severity, 'PASS' AS status, 0 AS failed_count,
-       '{"sample_rows":[]}' AS sample_rows, 'menu_item_id/location_id should not be NULL' AS notes
-UNION ALL SELECT 'FACT_NON_NEGATIVE', 'ERROR', 'PASS', 0, NULL, 'quantity, gross_sales, net_sales must be >= 0'
+# Every 50th item lacks its key in one location, every 70th has a negative quantity, every 90th appears twice.
+_SPOILT = """
+, spoilt AS (
+  SELECT date, CASE WHEN CAST(menu_item_id AS BIGINT) % 50 = 0 AND location_id = '3' THEN NULL ELSE menu_item_id END AS menu_item_id,
+         menu_item_name, truck_brand_name, country, location_id, orders_count, order_lines,
+         CASE WHEN CAST(menu_item_id AS BIGINT) % 70 = 0 THEN -quantity ELSE quantity END AS quantity, gross_sales, net_sales
+  FROM fact
+  UNION ALL SELECT * FROM fact WHERE CAST(menu_item_id AS BIGINT) % 90 = 1)"""
+
+
+@R.add("p_dq_report", with_fact(_SPOILT + """
+, dup AS (SELECT count(*) AS n FROM (SELECT 1 FROM spoilt GROUP BY date, menu_item_id, location_id HAVING count(*) > 1)),
+bad AS (SELECT * FROM spoilt WHERE menu_item_id IS NULL OR location_id IS NULL),
+first_rows AS (SELECT * FROM bad ORDER BY date, menu_item_id NULLS FIRST, menu_item_name, truck_brand_name, country, location_id LIMIT 10),
+shown AS (SELECT '{"sample_rows":[' || string_agg('{"date":"' || date || '","menu_item_name":"' || menu_item_name || '","truck_brand_name":"'
+            || truck_brand_name || '","country":"' || country || '","location_id":"' || location_id || '","orders_count":' || orders_count
+            || ',"order_lines":' || order_lines || ',"quantity":' || quantity || ',"gross_sales":' || gross_sales || ',"net_sales":' || net_sales
+            || '}', ',' ORDER BY date, menu_item_name, truck_brand_name, country, location_id) || ']}' AS rows FROM first_rows)
+SELECT 'FACT_NULL_KEYS' AS check_name, 'ERROR' AS severity, CASE WHEN n = 0 THEN 'PASS' ELSE 'FAIL' END AS status, n AS failed_count,
+       rows AS sample_rows, 'menu_item_id/location_id should not be NULL' AS notes FROM (SELECT count(*) AS n FROM bad), shown
+UNION ALL SELECT 'FACT_NON_NEGATIVE', 'ERROR', CASE WHEN n = 0 THEN 'PASS' ELSE 'FAIL' END, n, NULL, 'quantity, gross_sales, net_sales must be >= 0'
+          FROM (SELECT count(*) AS n FROM spoilt WHERE quantity < 0 OR gross_sales < 0 OR net_sales < 0)
 UNION ALL SELECT 'FACT_DUPLICATES', 'ERROR', CASE WHEN n = 0 THEN 'PASS' ELSE 'FAIL' END, n, NULL,
        'Duplicate rows at (date, menu_item_id, location_id)' FROM dup"""))
 def p_dq_report(spark, sf_dir):
-    """The three checks over the facts of all days."""
+    """The three checks over the facts of all days, with failures put in."""
     t = roles(spark, sf_dir)
-    fact = stored(marts.daily_item_sales(views.orders_v(t)))
-    first = fact.agg(F.min("date")).first()[0]
-    return quality.fact_checks(fact, first, 0)
-
-
-def _anomaly_sql(as_written: bool) -> str:
+    fact = marts.daily_item_sales(views.orders_v(t))
+    item = F.col("menu_item_id").cast("bigint")
+    spoilt = stored(
+        fact.withColumn("quantity", F.when(item % 70 == 0, -F.col("quantity")).otherwise(F.col("quantity")))
+        .withColumn("copies", F.when(item % 90 == 1, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))
+        .withColumn("menu_item_id", F.when((item % 50 == 0) & (F.col("location_id") == "3"), None).otherwise(F.col("menu_item_id")))
+        .withColumn("copies", F.explode("copies")).drop("copies")
+    )
+    return quality.fact_checks(spoilt, dt.date(1900, 1, 1), 0)
+
+
+def _anomaly_sql(as_written: bool, table: str = "brand_fact") -> str:
     # As written, the scored rows join the history (each history row once per scored row of the item
     # and day) and the spread is the mean deviation; otherwise each history row counts once.
     scored = "SELECT date, menu_item_id" if as_written else "SELECT DISTINCT date, menu_item_id"
     spread = "avg(abs(x - m))" if as_written else "median(abs(x - m))"
     return with_fact(f"""
 , base AS (SELECT date, menu_item_id, truck_brand_name, country, location_id, 'NET_SALES' AS metric_name,
-                  CAST(net_sales AS DOUBLE) AS x FROM brand_fact WHERE date >= {AS_OF} - 90
+                  CAST(net_sales AS DOUBLE) AS x FROM {table} WHERE date >= {AS_OF} - 90
            UNION ALL
            SELECT date, menu_item_id, truck_brand_name, country, location_id, 'QUANTITY', CAST(quantity AS DOUBLE)
-           FROM brand_fact WHERE date >= {AS_OF} - 90),
+           FROM {table} WHERE date >= {AS_OF} - 90),
 recent AS ({scored}, metric_name FROM base WHERE date >= {AS_OF} - 30),
 frames AS (SELECT r.date, r.menu_item_id, r.metric_name, b.x FROM recent r JOIN base b
            ON b.menu_item_id = r.menu_item_id AND b.metric_name = r.metric_name AND b.date BETWEEN r.date - 60 AND r.date - 1),
@@ -211,3 +241,63 @@ def p_daily_run(spark, sf_dir):
     t = roles(spark, sf_dir)
     run = DailyRun(spark, t, scratch_path(spark, "marts"), latest_order_date(t))
     return run.run().drop("run_ts")
+
+
+# ---- the daily run on a filled mart: 90 days first, then late lines arrive, then the last 7 days again --------
+
+_LATE = "order_id % 10 = 3"
+
+
+def _late(sql: str) -> str:
+    """An oracle query whose order lines are those that the two runs have seen: late lines count in the last week only."""
+    seen = f"FROM orders_v WHERE date >= {AS_OF} - 90 AND (date >= {AS_OF} - 7 OR NOT ({_LATE})) GROUP BY ALL"
+    return sql.replace("FROM orders_v GROUP BY ALL", seen)
+
+
+def _two_runs(spark, sf_dir):
+    t = roles(spark, sf_dir)
+    as_of = latest_order_date(t)
+    root = scratch_path(spark, "marts")
+    early = RoleTables(spark, sf_dir)
+    early["order_detail"] = t["order_detail"].filter(f"NOT ({_LATE})")
+    run = DailyRun(spark, early, root, as_of)
+    run.run(90)
+    run.tables = t  # the same job, after the late lines have arrived
+    run.run(7)
+    return run
+
+
+@R.add("p_daily_run_fact", _late(with_fact(f"SELECT {_FACT_OUT} FROM fact")))
+def p_daily_run_fact(spark, sf_dir):
+    """The fact table after both runs."""
+    return _two_runs(spark, sf_dir).mart("fact_daily_item_sales").drop("last_updated_at")
+
+
+@R.add("p_daily_run_kpi", _late(_kpi_sql("", False)))
+def p_daily_run_kpi(spark, sf_dir):
+    """The brand KPIs after both runs."""
+    return _two_runs(spark, sf_dir).mart("kpi_daily_brand").drop("last_updated_at")
+
+
+def _duplicates_sql(lines: str) -> str:
+    keys = "date, menu_item_id, menu_item_name, truck_brand_name, country, location_id"
+    return f"""(SELECT count(*) FROM (SELECT 1 FROM (SELECT DISTINCT {keys} FROM orders_v WHERE {lines})
+               GROUP BY date, menu_item_id, location_id HAVING count(*) > 1))"""
+
+
+@R.add("p_daily_run_checks", with_roles(f"""
+, runs AS (SELECT {_duplicates_sql(f"date >= {AS_OF} - 90 AND NOT ({_LATE})")} AS n
+           UNION ALL SELECT {_duplicates_sql(f"date >= {AS_OF} - 7")})
+SELECT 'FACT_DUPLICATES' AS check_name, CASE WHEN n = 0 THEN 'PASS' ELSE 'FAIL' END AS status, n AS failed_count, NULL AS sample_rows FROM runs
+UNION ALL SELECT 'FACT_NULL_KEYS', 'PASS', 0, '{{"sample_rows":[]}}' FROM runs
+UNION ALL SELECT 'FACT_NON_NEGATIVE', 'PASS', 0, NULL FROM runs"""))
+def p_daily_run_checks(spark, sf_dir):
+    """The log of the checks of both runs; p_dq_report shows them failing."""
+    return _two_runs(spark, sf_dir).mart("dq_results").select("check_name", "status", "failed_count", "sample_rows")
+
+
+@R.add("p_daily_run_anomalies", _late(_anomaly_sql(False, "fact")))
+def p_daily_run_anomalies(spark, sf_dir):
+    """The anomalies of the last 30 days after both runs, by menu item and location as the marts hold them."""
+    found = _two_runs(spark, sf_dir).recent("sales_anomalies", anomalies.DEFAULT_DAYS).drop("detected_at")
+    return found.withColumn("zscore", shown("zscore")).withColumn("robust_zscore", shown("robust_zscore"))
