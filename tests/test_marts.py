@@ -229,3 +229,31 @@ def test_a_failing_step_is_logged_and_ends_the_run(spark, sf_dir):
     assert sorted((r["step"], r["success"], len(r["error"])) for r in log) == [
         ("build_fact", True, 0), ("build_kpi", False, 2000)
     ]
+
+
+def test_late_rows_reach_a_second_run_of_the_same_object(spark, sf_dir):
+    tables = RoleTables(spark, sf_dir)
+    as_of = latest_order_date(tables)
+    early = RoleTables(spark, sf_dir)
+    early["order_detail"] = tables["order_detail"].filter("line_number = 1")
+    run = DailyRun(spark, early, scratch_path(spark, "marts"), as_of)
+
+    def lines():
+        return run.mart("fact_daily_item_sales").agg(F.sum("order_lines")).first()[0]
+
+    run.run(30)
+    before = lines()
+    early["order_detail"] = tables["order_detail"]
+    run.run(30)
+    assert lines() > before
+
+
+def test_nothing_is_said_about_facts_that_were_never_built(spark, sf_dir, tmp_path):
+    tables = RoleTables(spark, sf_dir)
+    run = DailyRun(spark, tables, str(tmp_path / "none"), latest_order_date(tables))
+    for step in (run.run_checks, run.build_kpi, run.detect):
+        with pytest.raises(FileNotFoundError):
+            step()
+    spark.range(1).write.parquet(str(tmp_path / "none/fact_daily_item_sales"))
+    with pytest.raises(ValueError, match="no column"):
+        run.run_checks()
