@@ -32,8 +32,9 @@ def encode(ranks: np.ndarray) -> tuple[bytes, bytes]:
     ends = np.cumsum(extra.astype(np.int64) + 1)
     at = ends - extra - 1
     data = np.empty(int(ends[-1]) if len(ends) else 0, dtype=np.uint8)
-    for k in range(4):
-        long = extra >= k if k else slice(None)
+    data[at] = ranks & 255
+    for k in range(1, int(extra.max(initial=0)) + 1):
+        long = np.flatnonzero(extra >= k)
         data[at[long] + k] = (ranks[long] >> (8 * k)) & 255
     four = np.zeros(-(-len(ranks) // 4) * 4, dtype=np.uint8)
     four[: len(ranks)] = extra
@@ -47,7 +48,7 @@ def decode(control: bytes, data: bytes, n: int) -> np.ndarray:
     at = np.cumsum(lens) - lens
     raw = np.frombuffer(data, dtype=np.uint8)
     out = raw[at].astype(np.uint32) if n else np.zeros(0, dtype=np.uint32)
-    for k in range(1, 4):
+    for k in range(1, int(lens.max(initial=1))):
         long = np.flatnonzero(lens > k)
         out[long] |= raw[at[long] + k].astype(np.uint32) << np.uint32(8 * k)
     return out
