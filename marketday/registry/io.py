@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from marketday.plans import glossary, inventory
 from marketday.registry.base import Registry, roles, source, with_roles
@@ -97,7 +98,7 @@ ROLE_TABLE = {"country": "(SELECT r_regionkey AS country_id, r_name AS country F
 
 
 def _load_query(role: str, columns: list[str]) -> None:
-    kinds = {f.name: f.dataType.simpleString() for f in StructType.fromDDL(RAW[role]).fields}
+    kinds = dict(re.findall(r"(\w+) (\w+)", RAW[role]))  # read as text: no session is needed to list the queries
     sql = ", ".join(f"{_shown(kinds[c], c)} AS {c}" for c in columns)
 
     def load(spark, sf_dir):

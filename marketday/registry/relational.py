@@ -156,7 +156,6 @@ def jn_composite_left(spark, sf_dir):
         views.orders_v(roles(spark, sf_dir)).groupBy("truck_brand_name", F.to_date("order_ts").alias("date"))
         .agg(F.count("order_id").alias("lines"), F.count_distinct("customer_id").alias("members"))
     )
-    per_day = stored(per_day)
     after = per_day.select(F.date_add("date", 1).alias("date"), "truck_brand_name")
     return after.join(per_day, ["date", "truck_brand_name"], "left").select(
         "date", "truck_brand_name", F.coalesce("lines", F.lit(0)).alias("lines"),
