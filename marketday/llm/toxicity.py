@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -41,7 +42,7 @@ _TABLE[[*range(0xA1, 0xAA), *range(0xAB, 0xB5), *range(0xB6, 0xBA), *range(0xBB,
 _SIGN = np.zeros(0x250, dtype=bool)
 _SIGN[[ord(c) for c in LOOK_ALIKE if ord(c) < 0x250]] = True
 
-SAMPLE = 12_000  # labelled rows that scoring learns from: the bound of what reaches the driver
+SAMPLE = 8_000  # labelled rows that scoring learns from: the bound of what reaches the driver
 STEMS = (4, 5, 6)  # first letters of a word that count as features beside the whole word
 LEAST, STRONG = 6, 2.5  # toxic texts a feature needs, and its log-odds
 
@@ -252,10 +253,15 @@ def train(rows: list[tuple[str, int]], letters: Letters) -> Model:
     if len(set(y.tolist())) < 2:
         return model
     words = lambda t: set().union(*[features(w) for w in set(_WORD.findall(t.lower()))])
+    slot = lambda f: zlib.crc32(f.encode()) & (1 << 22) - 1
+    rough = np.zeros(1 << 22, dtype=np.uint16)  # counts by hash first: rare features never take memory
+    for t, v in zip(texts, y, strict=True):
+        if v:
+            rough[np.unique(np.array([slot(f) for f in words(t)], dtype=np.int64))] += 1
     toxic: Counter = Counter()
     for t, v in zip(texts, y, strict=True):
         if v:
-            toxic.update(words(t))
+            toxic.update(f for f in words(t) if rough[slot(f)] >= LEAST)
     toxic = Counter({f: n for f, n in toxic.items() if n >= LEAST})
     clean: Counter = Counter()
     for t, v in zip(texts, y, strict=True):
@@ -264,7 +270,8 @@ def train(rows: list[tuple[str, int]], letters: Letters) -> Model:
     ones, zeros = y.sum(), len(y) - y.sum()
     odds = {f: math.log((n + 0.5) / (ones + 1)) - math.log((clean[f] + 0.5) / (zeros + 1)) for f, n in toxic.items()}
     model.weights = {f: w for f, w in odds.items() if w >= STRONG}
-    strongest, total = evidence(model, texts)
+    found = [evidence(model, texts[k : k + 500]) for k in range(0, len(texts), 500)]
+    strongest, total = (np.concatenate([f[i] for f in found]) for i in (0, 1))
     x = np.column_stack([np.ones(len(y)), strongest, np.log1p(total)])
     line = np.zeros(3)
     for _ in range(30):  # Newton's method with a small penalty
