@@ -326,6 +326,21 @@ def test_sets_in_one_place(seed):
     assert collections.Counter((i, len(s), find(i)) for i, s in enumerate(sets)) == want
 
 
+@pytest.mark.parametrize("n", [40, 512, 513, 600, 1025, 1200, 5000])
+@pytest.mark.parametrize("percent", [80, 90])
+def test_linked_sets_meet_at_a_sketch_level(n, percent):
+    rng = np.random.default_rng(n + percent)
+    for _ in range(20):
+        x = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        keep = int(np.ceil(percent * n / 100))
+        y = x[:keep] if rng.random() < 0.5 else np.concatenate([x, rng.integers(0, 1 << 63, n * 100 // percent - n, dtype=np.uint64)])
+        a, b = ({s["level"]: np.frombuffer(s["sketch"], dtype=np.uint8).astype(int) for s in jaccard._sketches(v, percent)} for v in (x, y))
+        assert a.keys() & b.keys()
+        for level in a.keys() & b.keys():
+            assert np.abs(a[level] - b[level]).sum() <= len(x) + len(y) - 2 * min(len(x), len(y))
+            assert len(x) + len(y) - 2 * min(len(x), len(y)) <= jaccard._allowed(percent, len(x), len(y))
+
+
 # ---- benchmark passages ------------------------------------------------------------------------------
 
 
