@@ -1,7 +1,7 @@
 """Texts to token ids with a public tokenizer, word by word.
 
 White space always ends a token of this vocabulary, so a text's ids are those of its space-separated pieces
-in order.  A batch's distinct pieces are encoded once and the ids are gathered with numpy; each Python
+in order.  Pieces that hold one of the tokenizer's added tokens are left to the tokenizer itself.  A batch's distinct pieces are encoded once and the ids are gathered with numpy; each Python
 worker remembers the pieces it has met, up to MEMORY of them.
 """
 
@@ -40,6 +40,10 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
+        added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        if any(re.search(r"\s", t) for t in added):
+            raise ValueError("an added token with white space is not found in pieces")
+        self.added = re.compile("|".join(map(re.escape, added)) or "(?!)")  # in any case: the tokenizer decides
         self._forget()
 
     def _forget(self):
@@ -60,8 +64,8 @@ class Encoder:
         return got
 
     def _learn(self, piece: str) -> int:
-        plain = piece.isascii() and piece.isprintable() or _PLAIN.fullmatch(piece)
         lower = piece.lower()
+        plain = (piece.isascii() and piece.isprintable() or _PLAIN.fullmatch(piece)) and not self.added.search(lower)
         if plain and lower.isalpha():
             number = self._part(lower)
         elif plain:

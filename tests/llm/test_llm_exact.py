@@ -167,6 +167,16 @@ def test_encoder_is_the_tokenizer(tokenizer):
         assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_added_tokens_inside_texts(spark, tokenizer):
+    texts = ["x<|startoftext|>y", "<|endoftext|>", "<|ENDOFTEXT|>", "don't<|endoftext|>'s", "a <|endoftext|> b\n<|startoftext|>é", "<|endoftext|", "<|endoftext|>漢<|endoftext|>"]
+    want = [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    ids, bounds = tokens.Encoder(tokens.default_path()).encode(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == want and want[1] == [49407]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: (r["n_tokens"], r["ids_crc32"]) for r in token_files.digest(df).collect()}
+    assert got == {i: (len(x) + 1, zlib.crc32(np.array([*x, 2], dtype="<u4").tobytes())) for i, x in enumerate(want)}
+
+
 @pytest.mark.parametrize("n", [0, 1, 3, 4, 1000])
 def test_code_round_trip(n):
     rng = np.random.default_rng(n)
