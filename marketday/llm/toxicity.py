@@ -41,15 +41,18 @@ _TABLE[[0xA0, 0x85]] = 0
 _TABLE[[*range(0xA1, 0xAA), *range(0xAB, 0xB5), *range(0xB6, 0xBA), *range(0xBB, 0xC0), 0xD7, 0xF7]] = 29
 _SIGN = np.zeros(0x250, dtype=bool)
 _SIGN[[ord(c) for c in LOOK_ALIKE if ord(c) < 0x250]] = True
+_SINGLE = _SIGN | np.array([chr(c).isalnum() for c in range(0x250)])  # what a spaced run can be made of
 
 SAMPLE = 8_000  # labelled rows that scoring learns from: the bound of what reaches the driver
 STEMS = (4, 5, 6)  # first letters of a word that count as features beside the whole word
 LEAST, STRONG = 6, 2.5  # toxic texts a feature needs, and its log-odds
 
 _RUN = re.compile(r"([^\W\d_])\1\1+")
-_SPACED = re.compile(r"(?<![^\s])(?:[^\W_]|[@$!|+(€£])(?:[ ._\-*]{1,2}(?:[^\W_]|[@$!|+(€£])){3,}(?![^\s.,;:?!])")
+_SPACED = re.compile(r"(?<![^\s\"'(\[{<«“„‘])(?:[^\W_]|[@$!|+(€£])(?:[ ._\-*]{1,2}(?:[^\W_]|[@$!|+(€£])){2,}(?![^\s.,;:?!\"')\]}>»”’])")
 _PIECE = re.compile(r"\S+")
-_HIDDEN = re.compile(r"[0-9@$!|+(€£][^\W\d_]")
+_SIGNED = re.compile(r"(?<!\S)[^\s0-9@$!|+(€£]*+[0-9@$!|+(€£]\S*")  # a piece with a look-alike
+_LOOK = re.compile(r"[0-9@$!|+(€£]")
+_LETTER = re.compile(r"[^\W\d_²³¹¼½¾]")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -131,40 +134,57 @@ def decode(piece: str, letters: Letters, spaced: bool = False) -> str:
 
 def _hidden(m: re.Match, letters: Letters) -> str:
     piece = m.group()
-    if not _HIDDEN.search(piece):
-        return piece
     # signs at the ends are punctuation; at the start only when no letter follows
-    core = piece.rstrip(".,;:?!*%&#\"')]}|")
-    return decode(core, letters) + piece[len(core) :] if core else piece
+    end = len(piece.rstrip(".,;:?!*%&#\"')]}|"))
+    start = int(piece[0] == "(" and ")" in piece[end:])  # a closed bracket is no letter
+    core = piece[start:end]
+    if not (_LOOK.search(core) and _LETTER.search(core)):
+        return piece
+    found = decode(core, letters)
+    return piece if found == core.lower() else piece[:start] + found + piece[end:]
+
+
+def _apart(m: re.Match, letters: Letters) -> str:
+    run = m.group()
+    few = len(run) < 10 and sum(c not in SEPARATORS for c in run) < 4
+    return run if few and not _LETTER.search(run) else decode(run, letters, True)  # "1 2 3" is no word
 
 
 def restore(text: str, letters: Letters) -> str:
     """The text with its disguised pieces decoded; the rest unchanged."""
-    text = _SPACED.sub(lambda m: decode(m.group(), letters, True), text)
-    if _HIDDEN.search(text):
-        text = _PIECE.sub(lambda m: _hidden(m, letters), text)
+    text = _SPACED.sub(lambda m: _apart(m, letters), text)
+    text = _SIGNED.sub(lambda m: _hidden(m, letters), text)
     if _RUN.search(text):
         text = _PIECE.sub(lambda m: decode(m.group(), letters) if _RUN.search(m.group()) else m.group(), text)
     return text
 
 
 def suspects(cp: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Which texts can hold anything to decode: a sign before a letter, three equal letters, or four single characters."""
+    """Which texts can hold anything to decode: a piece with a sign and a letter, three equal letters, or three single characters."""
     kind = _TABLE[cp]
     letter = (kind >= 1) & (kind <= 27)
+    far = cp == 0x24F  # whatever lies beyond the table
     hit = np.zeros(len(cp) + 1, dtype=bool)
+    if len(cp):
+        edge = kind == 0
+        edge[bounds[:-1][bounds[:-1] < len(cp)]] = True
+        piece = np.cumsum(edge, dtype=np.int32)
+        worded = np.zeros(piece[-1] + 1, dtype=bool)
+        worded[piece[letter]] = True
+        signs = np.flatnonzero(_SIGN[cp] | far)
+        hit[signs] = worded[piece[signs]]
     if len(cp) > 2:
-        hit[: len(cp) - 1] |= (_SIGN[cp[:-1]] | (cp[:-1] == 0x24F)) & letter[1:]
         hit[: len(cp) - 2] |= (cp[:-2] == cp[1:-1]) & (cp[1:-1] == cp[2:]) & letter[2:]
         lower = np.where((cp >= 65) & (cp < 91), cp + 32, cp)
         hit[: len(cp) - 2] |= (lower[:-2] == lower[1:-1]) & (lower[1:-1] == lower[2:]) & letter[2:]
-        between = ~letter & ~_SIGN[cp]
-        alone = ~between
-        alone[1:] &= between[:-1]
-        alone[:-1] &= between[1:]
-        at = np.flatnonzero(alone)
-        if len(at) > 3:
-            hit[at[:-3][at[3:] - at[:-3] <= 9]] = True
+        single = _SINGLE[cp] | far
+        between = ~single | far
+        before, after = np.append(True, between[:-1]), np.append(between[1:], True)
+        before[bounds[:-1][bounds[:-1] < len(cp)]] = True
+        after[bounds[1:][bounds[1:] > 0] - 1] = True
+        at = np.flatnonzero(single & before & after)
+        if len(at) > 2:
+            hit[at[:-2][at[2:] - at[:-2] <= 6]] = True
     return np.add.reduceat(hit, bounds[:-1]) * (np.diff(bounds) > 0) > 0 if len(bounds) > 1 else np.zeros(0, dtype=bool)
 
 
@@ -246,7 +266,7 @@ def train(rows: list[tuple[str, int]], letters: Letters) -> Model:
     Without both labels the score is the share of ones, for every text.
     """
     model = Model(letters)
-    texts = restored([t for t, _ in rows], letters)
+    texts = [t for k in range(0, len(rows), 100) for t in restored([t for t, _ in rows[k : k + 100]], letters)]
     y = np.array([v for _, v in rows], dtype=np.float64)
     share = (y.sum() + 0.5) / (len(y) + 1)
     model.line = (math.log(share / (1 - share)), 0.0, 0.0)

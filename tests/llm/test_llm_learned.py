@@ -6,6 +6,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from marketday.llm import neighbours, quality, toxicity
@@ -113,6 +114,33 @@ def test_plain_texts_stay(letters, text):
     assert toxicity.restored([text], letters) == [text]
 
 
+@pytest.mark.parametrize("hidden,plain", [
+    ("hat3", "hate"), ("di3", "die"), ("idio7", "idiot"), ("d i e", "die"), ("(i d i o t)", "(idiot)"), ('"i-d-i-o-t"', '"idiot"'),
+])
+def test_restored_at_the_ends_and_in_brackets(letters, hidden, plain):
+    assert toxicity.restored(["x", f"so {hidden}, all", hidden], letters) == ["x", f"so {plain}, all", plain]
+
+
+def test_signs_at_the_end_are_decoded_where_the_texts_know_the_word():
+    counts = np.zeros(toxicity.CLASSES**3)
+    for batch in toxicity._counted([pa.RecordBatch.from_arrays([pa.array(["an ass, a dumbass, a pass"] * 50)], names=["text"])]):
+        counts[batch.column(0).to_numpy()] += batch.column(1).to_numpy()
+    known = toxicity.Letters.of(counts)
+    assert toxicity.restored(["a$$", "you dumba$$, all"], known) == ["ass", "you dumbass, all"]
+
+
+@pytest.mark.parametrize("text", ["in 2023", "cost 5$", "It is 1 2 3 or 20$!", "Stop!! See 4.5"])
+def test_plain_numbers_and_prices_stay(letters, text):
+    assert toxicity.restore(text, letters) == toxicity.restored([text], letters)[0] == text
+
+
+def test_suspects_miss_nothing_wider(letters):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("ab13$!. -\"(²“漢") for _ in range(rng.randrange(0, 12))) for _ in range(3000)]
+    for plain, got in zip(texts, toxicity.restored(texts, letters)):
+        assert got == toxicity.restore(plain, letters)
+
+
 def brute_decode(piece, letters, spaced):
     """Every path of the lattice."""
     paths = [("", 0.0)]
