@@ -17,6 +17,8 @@ from marketday.streaming.increment import load_new_csv
 
 R = Registry()
 
+FILE_ROWS = 100  # documents in a text file that is read whole
+
 
 def _as_csv(df, path: str):
     """What an upstream system would leave in the load folder: CSV without a header."""
@@ -134,14 +136,13 @@ def src_csv_types(spark, sf_dir):
 WITH files AS (SELECT doc_id % 8 AS part, string_agg(text, chr(10) ORDER BY doc_id) AS content FROM documents GROUP BY ALL)
 SELECT 'SQL' AS language, CAST(sum(length(content) + 1) AS BIGINT) AS chars, count(*) AS files FROM files""")
 def src_whole_files(spark, sf_dir):
-    """Documents written as eight text files, read whole and measured as code files."""
+    """Documents in eight folders of text files of at most FILE_ROWS documents, read whole and measured as code; a folder is one code file."""
     path = scratch_path(spark, "whole-files")
-    docs = source(spark, sf_dir, "documents")
-    for part in range(8):  # a file for each remainder; the folder names the suffix
-        docs.filter(F.col("doc_id") % 8 == part).orderBy("doc_id").coalesce(1).select("text").write.option("lineSep", "\n").text(f"{path}/{part}")
-    files = load_files(spark, path).select(F.regexp_replace("name", "[.]txt$", ".sql").alias("name"), "content")
+    docs = source(spark, sf_dir, "documents").select((F.col("doc_id") % 8).alias("part"), "text")
+    docs.write.partitionBy("part").options(lineSep="\n", maxRecordsPerFile=FILE_ROWS).text(path)  # the folder names the suffix
+    files = load_files(spark, path).select(F.concat_ws("/", "folder", F.regexp_replace("name", "[.]txt$", ".sql")).alias("name"), "content")
     found = inventory.corpus_inventory(files)
-    return found.groupBy("language").agg(F.sum("chars").alias("chars"), F.count(F.lit(1)).alias("files"))
+    return found.groupBy("language").agg(F.sum("chars").alias("chars"), F.countDistinct(F.substring_index("name", "/", 1)).alias("files"))
 
 
 @R.add("sink_csv_roundtrip", GOVERNANCE.sql["glossary_columns"].replace("SELECT p_partkey AS doc_id, 'part' AS \"table\", p_name AS \"column\", p_brand AS definition", "SELECT 'part' AS \"Table\", p_name AS \"Column\", p_brand AS \"Definition\"").replace("AS synonyms", 'AS "Synonyms"'))

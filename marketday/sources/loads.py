@@ -43,12 +43,13 @@ def load_relations(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load_files(spark: SparkSession, path: str) -> DataFrame:
-    """Whole text files as ``name, content``; bytes that are not UTF-8 are replaced."""
+    """Whole text files as ``name, content, folder`` (its last part); bytes that are not UTF-8 are replaced."""
     return (
         spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
         .select(
             F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1).alias("name"),
             F.make_valid_utf8("value").alias("content"),
+            F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1).alias("folder"),
         )
     )
 

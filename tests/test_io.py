@@ -132,3 +132,15 @@ def test_no_machine_local_folder_on_a_cluster():
         session.shared_dir(Session("yarn", {}))
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         session.shared_dir(Session("local[4]", {}))
+
+
+def test_documents_read_whole_come_in_bounded_files(spark, sf_dir, tmp_path, monkeypatch):
+    from marketday.registry import io
+
+    monkeypatch.setattr(io, "scratch_path", lambda *_: str(tmp_path / "files"))
+    monkeypatch.setattr(io, "FILE_ROWS", 5, raising=False)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
+    assert [tuple(r) for r in io.src_whole_files(spark, sf_dir).collect()] == [("SQL", sum(len(r["text"]) + 1 for r in docs), len({r["doc_id"] % 8 for r in docs}))]
+    longest = max(len(r["text"].encode()) + 1 for r in docs)
+    assert all(f.stat().st_size <= 5 * longest for f in (tmp_path / "files").rglob("*.txt"))
+    assert sum(1 for _ in (tmp_path / "files").rglob("*.txt")) >= len(docs) / 5
