@@ -18,6 +18,7 @@ WIDTH = 2.5  # of a bucket, in standard deviations of a projected unit vector
 REACH = 0.65  # of the chance to meet a neighbour that a table's probes add up to
 SAMPLE = 64  # queries measured against all rows, to learn how far neighbours are
 QUANTILE = 0.9  # of their distances the probes are laid out for
+FARTHEST = math.sqrt(2)  # unrelated vectors are about this far apart; no query probes for more
 BLOCK = 2048  # vectors, or queries, compared at a time
 
 
@@ -79,21 +80,22 @@ def _matrix(column: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     }
 
 
-def _hashed(m: int, distance: float | None):
-    """Each vector's bucket in every table, or with a distance the buckets it probes."""
+def _hashed(m: int, probing: bool):
+    """Each vector's bucket in every table, or the buckets it probes for neighbours at its distance ``d``."""
 
     def run(batches):
         for batch in batches:
             column = batch.column(batch.schema.get_field_index("vec"))
+            apart = batch.column(batch.schema.get_field_index("d")).to_numpy() if probing else None
             for dims, (rows, vectors) in _matrix(column).items():
                 for table in range(TABLES):
                     a, b = _projections(table, dims, m)
                     at = (_unit(vectors) @ a + b) / WIDTH
                     cells = np.floor(at).astype(np.int64)
-                    if distance is None:
+                    if not probing:
                         take, codes = rows, _codes(cells)
                     else:
-                        steps = [probes(p, distance) for p in at - cells]
+                        steps = [probes(p, d) for p, d in zip(at - cells, apart[rows], strict=True)]
                         take = np.repeat(rows, [len(s) for s in steps])
                         codes = _codes(np.vstack([c + np.array(s) for c, s in zip(cells, steps, strict=True)]))
                     part = batch.take(pa.array(take))
@@ -171,7 +173,8 @@ def search(vectors: DataFrame, every: int, k: int = 5) -> DataFrame:
 
     Equal vectors are one entry with their k + 1 smallest ids, which is all that any result can show of them; equal
     queries are one probe.  The number of projections follows the number of vectors, the number of probes from
-    the chance of meeting a neighbour at the distance measured for SAMPLE queries against all rows.  A bucket of any size
+    the chance of meeting a neighbour at the distance measured for SAMPLE queries against all rows; queries that find their
+    neighbours farther away, or too few, probe once more for the distance they found.  A bucket of any size
     is compared in blocks of about BLOCK vectors with BLOCK queries: all of it, and only each query's best leave a block.
     """
     scratch = Scratch(vectors.sparkSession, "neighbours")
@@ -194,26 +197,36 @@ def search(vectors: DataFrame, every: int, k: int = 5) -> DataFrame:
     kth = [r.s for r in top.withColumn("n", place).where(F.col("n") <= k + 1).groupBy("i").agg(F.min("s").alias("s")).collect()]
     distance = float(np.quantile([math.sqrt(max(0.0, 2 - 2 * s)) for s in kth], QUANTILE)) if kth else 1.0
 
-    index = scratch.put(entries.mapInArrow(_hashed(m, None), "q1 bigint, q2 bigint, ids array<bigint>, vec array<double>, tbl int, code bigint"), "index")
-    probed = scratch.put(asked.mapInArrow(_hashed(m, distance), "q1 bigint, q2 bigint, vec array<double>, tbl int, code bigint"), "probed")
-    sizes = index.groupBy("tbl", "code").agg(F.ceil(F.count("*") / BLOCK).alias("vb"))
-    asks = probed.groupBy("tbl", "code").agg(F.ceil(F.count("*") / BLOCK).alias("qb"))
-    blocks = scratch.put(sizes.join(asks, ["tbl", "code"]), "blocks")
-    left = (
-        probed.join(blocks, ["tbl", "code"]).withColumn("y", F.pmod(F.xxhash64("q1", "q2"), "qb"))
-        .withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("vb") - 1)))
-    )
-    right = (
-        index.join(blocks, ["tbl", "code"]).withColumn("x", F.pmod(F.xxhash64("q1", "q2"), "vb"))
-        .withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("qb") - 1)))
-    )
-    key = ["tbl", "code", "x", "y"]
-    met = left.select(*key, "q1", "q2", "vec").groupBy(*key).cogroup(right.select(*key, "ids", "vec").groupBy(*key)).applyInPandas(
-        _compared(k + 1), "q1 bigint, q2 bigint, vec_id bigint, score double"
-    )
-    merged = met.groupBy("q1", "q2", "vec_id").agg(F.max("score").alias("score"))
-    order = [F.desc("score"), "vec_id"]
-    best = merged.withColumn("n", F.row_number().over(Window.partitionBy("q1", "q2").orderBy(*order))).where(F.col("n") <= k + 1).drop("n")
+    index = scratch.put(entries.mapInArrow(_hashed(m, False), "q1 bigint, q2 bigint, ids array<bigint>, vec array<double>, tbl int, code bigint"), "index")
+    sizes = scratch.put(index.groupBy("tbl", "code").agg(F.ceil(F.count("*") / BLOCK).alias("vb")), "sizes")
+    key, order = ["tbl", "code", "x", "y"], [F.desc("score"), "vec_id"]
+
+    def first(rows: DataFrame) -> DataFrame:
+        rows = rows.groupBy("q1", "q2", "vec_id").agg(F.max("score").alias("score"))
+        return rows.withColumn("n", F.row_number().over(Window.partitionBy("q1", "q2").orderBy(*order))).where(F.col("n") <= k + 1).drop("n")
+
+    def met(asking: DataFrame, name: str) -> DataFrame:
+        probed = scratch.put(asking.mapInArrow(_hashed(m, True), "q1 bigint, q2 bigint, vec array<double>, d double, tbl int, code bigint"), f"probed{name}")
+        asks = probed.groupBy("tbl", "code").agg(F.ceil(F.count("*") / BLOCK).alias("qb"))
+        blocks = scratch.put(sizes.join(asks, ["tbl", "code"]), f"blocks{name}")
+        left = (
+            probed.join(blocks, ["tbl", "code"]).withColumn("y", F.pmod(F.xxhash64("q1", "q2"), "qb"))
+            .withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("vb") - 1)))
+        )
+        right = (
+            index.join(blocks, ["tbl", "code"]).withColumn("x", F.pmod(F.xxhash64("q1", "q2"), "vb"))
+            .withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("qb") - 1)))
+        )
+        pairs = left.select(*key, "q1", "q2", "vec").groupBy(*key).cogroup(right.select(*key, "ids", "vec").groupBy(*key)).applyInPandas(
+            _compared(k + 1), "q1 bigint, q2 bigint, vec_id bigint, score double"
+        )
+        return scratch.put(first(pairs), f"met{name}")
+
+    near = met(asked.withColumn("d", F.lit(distance)), "1")
+    reached = near.groupBy("q1", "q2").agg(F.count("*").alias("n"), F.min("score").alias("s"))
+    own = F.when(F.col("n") > k, F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("s")))).otherwise(F.lit(FARTHEST))
+    farther = asked.join(reached, ["q1", "q2"], "left").select("q1", "q2", "vec", F.least(own, F.lit(FARTHEST)).alias("d"))
+    best = first(near.unionByName(met(farther.where(F.col("d") > distance), "2")))
     found = queries.select("q1", "q2", F.col("vec_id").alias("query_id")).join(best, ["q1", "q2"]).where("query_id <> vec_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

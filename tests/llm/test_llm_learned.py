@@ -226,6 +226,20 @@ def test_equal_zero_and_broken_vectors(spark, monkeypatch):
     assert neighbours.search(df.limit(0), 10).collect() == []
 
 
+def test_isolated_vectors_among_tight_groups(spark):
+    rng = np.random.default_rng(8)
+    vectors = np.vstack([np.repeat(rng.normal(size=(20, 48)), 140, axis=0) + 1e-4 * rng.normal(size=(2800, 48)), rng.normal(size=(200, 48))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id bigint, embedding array<double>")
+    got = collections.defaultdict(set)
+    for r in neighbours.search(df, 10).collect():
+        got[r["query_id"]].add(r["score"])
+    recall = []
+    for q in range(2800, 3000, 10):
+        best = np.sort(np.delete(neighbours.cosines(vectors[q], vectors), q))[-5]
+        recall.append(sum(s >= best - 1e-12 for s in got[q]) / 5)
+    assert np.mean(recall) >= 0.85
+
+
 def test_probes_come_in_falling_order():
     place = np.array([0.1, 0.5, 0.9, 0.3])
     steps = neighbours.probes(place, 1.0)
