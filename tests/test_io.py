@@ -144,3 +144,10 @@ def test_documents_read_whole_come_in_bounded_files(spark, sf_dir, tmp_path, mon
     longest = max(len(r["text"].encode()) + 1 for r in docs)
     assert all(f.stat().st_size <= 5 * longest for f in (tmp_path / "files").rglob("*.txt"))
     assert sum(1 for _ in (tmp_path / "files").rglob("*.txt")) >= len(docs) / 5
+
+
+def test_latest_order_day_is_registered(spark, sf_dir):
+    import __spark_entry__
+
+    newest = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("CAST(max(o_orderdate) AS date)").first()[0]
+    assert [str(r["as_of"]) for r in __spark_entry__.queries()["latest_order_day"](spark, sf_dir).collect()] == [str(newest)]
