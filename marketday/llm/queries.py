@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marketday.llm import decontamination, jaccard, line_dedup, neighbours, packing, quality, repeats, sharding, token_files, toxicity
+from marketday.llm import decontamination, jaccard, line_dedup, merkle, neighbours, packing, quality, repeats, sharding, token_files, toxicity
 from marketday.llm.common import ready, table
 
 
@@ -24,5 +24,6 @@ QUERIES = {
     "op8_packing": _over("documents", packing.digest),
     "op9_line_dedup": _over("documents", line_dedup.digest),
     "op10_sharding": _over("documents", sharding.digest),
+    "op12_merkle": _over("documents", merkle.digest),
 }
-SQL = {"op9_line_dedup": line_dedup.SQL}
+SQL = {"op9_line_dedup": line_dedup.SQL, "op12_merkle": merkle.SQL}
