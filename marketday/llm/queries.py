@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marketday.llm import decontamination, jaccard, line_dedup, merkle, neighbours, packing, quality, repeats, sharding, token_files, toxicity, urls
+from marketday.llm import decontamination, jaccard, line_dedup, merkle, neighbours, packing, quality, repeats, sharding, spelling, token_files, toxicity, urls
 from marketday.llm.common import ready, table
 
 
@@ -24,7 +24,8 @@ QUERIES = {
     "op8_packing": _over("documents", packing.digest),
     "op9_line_dedup": _over("documents", line_dedup.digest),
     "op10_sharding": _over("documents", sharding.digest),
+    "op11_spelling": _over("documents", spelling.digest),
     "op12_merkle": _over("documents", merkle.digest),
     "op13_url_filter": _over("pages", urls.digest),
 }
-SQL = {"op9_line_dedup": line_dedup.SQL, "op12_merkle": merkle.SQL, "op13_url_filter": urls.SQL}
+SQL = {"op9_line_dedup": line_dedup.SQL, "op11_spelling": spelling.SQL, "op12_merkle": merkle.SQL, "op13_url_filter": urls.SQL}
