@@ -2,7 +2,7 @@
 
 White space always ends a token of this vocabulary, so a text's ids are those of its space-separated pieces
 in order.  Pieces that hold one of the tokenizer's added tokens are left to the tokenizer itself.  A batch's distinct pieces are encoded once and the ids are gathered with numpy; each Python
-worker remembers the pieces it has met, up to MEMORY of them.
+worker remembers the pieces it has met, up to MEMORY bytes.
 """
 
 from __future__ import annotations
@@ -16,8 +16,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 TOKENIZER = "word_bpe_49k.json"
-MEMORY = 700_000  # remembered pieces; at the bound the memory starts afresh
-SLICE = 8_000_000  # bytes of text taken at a time
+MEMORY = 48_000_000  # bytes of remembered pieces, their parts and ids; at the bound the memory starts afresh
+ENTRY = 150  # bytes that an entry of a dictionary takes besides its letters
+SLICE = 2_000_000  # bytes of text taken at a time
 
 # ASCII and the letters of Latin-1: composed already, with one lower-case letter each
 _PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]*")
@@ -47,6 +48,7 @@ class Encoder:
         self._forget()
 
     def _forget(self):
+        self.letters_held = 0
         self.place: dict[str, int] = {}
         self.parts: dict[str, int] = {}
         self.ids, self.starts = array("I"), array("q", [0])
@@ -61,6 +63,7 @@ class Encoder:
         if got is None:
             spelled = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
             got = self.parts[part] = self._entry([t.id for t in self.model.tokenize(spelled)])
+            self.letters_held += len(part)
         return got
 
     def _learn(self, piece: str) -> int:
@@ -77,11 +80,16 @@ class Encoder:
         else:
             number = self._entry(self.tokenizer.encode(piece, add_special_tokens=False).ids)
         self.place[piece] = number
+        self.letters_held += len(piece)
         return number
 
+    def held(self) -> int:
+        """Bytes remembered, about."""
+        return ENTRY * (len(self.place) + len(self.parts)) + self.letters_held + 4 * len(self.ids) + 8 * len(self.starts)
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, n + 1 bounds)."""
-        if len(self.place) > MEMORY:
+        if self.held() > MEMORY:
             self._forget()
         pieces = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         coded = pieces.flatten().dictionary_encode()
@@ -125,6 +133,7 @@ def slices(texts: pa.Array, limit: int = SLICE):
 def encoded(batches, path: str, end: int):
     """For each slice of Arrow batches with a ``text``: (slice, ids with ``end`` after each text, bounds)."""
     enc = encoder(path)
+    pa.default_memory_pool().release_unused()  # what earlier stages of this worker left
     for batch in batches:
         texts = batch.column(batch.schema.get_field_index("text"))
         for start, stop in slices(texts):
