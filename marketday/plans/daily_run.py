@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from marketday.functions.text import STATEMENT_CHARS
-from marketday.operators.rebuild import cutoff_date, in_window, rebuild_partitions
+from marketday.operators.rebuild import cutoff_date, in_window
+from marketday.operators.snapshots import SnapshotTable, is_snapshot
 from marketday.plans import anomalies, marts, quality
 from marketday.plans.views import Tables
 from marketday.session import drop_path, exists, scratch_path
@@ -24,6 +25,7 @@ MESSAGES = {
 }
 # --- end of fixed values ---
 
+WINDOW_MARTS = ("fact_daily_item_sales", "kpi_daily_brand", "sales_anomalies")
 RUN_LOG = "step string, success boolean, rows_affected bigint, error string, message string, run_ts timestamp_ntz"
 
 
@@ -31,13 +33,16 @@ def now_column():
     return F.current_timestamp().cast("timestamp_ntz")
 
 
-def read_mart(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """A mart or log table below ``root``; empty while nothing has been written.
+def read_mart(spark: SparkSession, root: str, name: str, since: dt.date | None = None) -> DataFrame:
+    """A mart or log table below ``root``; empty while nothing has been committed.
 
-    A folder that does not hold the declared columns is an error.
+    Of a mart its newest version; ``since`` leaves earlier days unlisted.  A folder that does not hold the declared columns
+    is an error.
     """
     schema, path = MART[name] if name in MART else RUN_LOG, f"{root}/{name}"
-    if not exists(spark, path):
+    if is_snapshot(spark, path):
+        return SnapshotTable(spark, path, schema).read(since=since)
+    if not exists(spark, path) or exists(spark, f"{path}/data"):
         return spark.createDataFrame([], schema)
     lost = set(StructType.fromDDL(schema).fieldNames()) - set(spark.read.parquet(path).columns)
     if lost:
@@ -56,7 +61,8 @@ def shaped(df: DataFrame, name: str, **defaults) -> DataFrame:
 class DailyRun:
     """The four steps over one mart folder and one as-of date.
 
-    Every step may be repeated: window tables are rebuilt from the orders as they are then, the log grows.  Within
+    Every step may be repeated: window tables are rebuilt from the orders as they are then, the log grows.  Each rebuild is a
+    version of its table, so readers see the one before or the one after; :meth:`tidy` removes older ones.  Within
     one ``run`` the order lines of the window are joined once, staged in the shared folder, used by the fact and
     the KPI step, and dropped.
     """
@@ -77,18 +83,28 @@ class DailyRun:
             needed.write.parquet(self._staged[days_back])
         return self.spark.read.schema(needed.schema).parquet(self._staged[days_back])
 
-    def facts(self) -> DataFrame:
-        """The fact table, which must have been built."""
+    def facts(self, days_back: int) -> DataFrame:
+        """The days of the fact table that a step looks at; the table must have been built."""
         if not exists(self.spark, f"{self.root}/fact_daily_item_sales"):
             raise FileNotFoundError(f"no facts below {self.root}: build_fact comes first")
-        return self.mart("fact_daily_item_sales")
+        return read_mart(self.spark, self.root, "fact_daily_item_sales", cutoff_date(self.as_of, days_back))
 
     def mart(self, name: str) -> DataFrame:
         return read_mart(self.spark, self.root, name)
 
+    def snapshots(self, name: str) -> SnapshotTable:
+        return SnapshotTable(self.spark, f"{self.root}/{name}", MART[name])
+
+    def tidy(self, keep: int = 2) -> int:
+        """Remove what only older versions hold; folders removed.  Not while a run writes."""
+        return sum(self.snapshots(name).expire(keep) for name in WINDOW_MARTS)
+
     def _rebuild(self, rows: DataFrame, name: str, days_back: int, stamp: str) -> int:
         rows = shaped(rows, name, **{stamp: now_column()})
-        return rebuild_partitions(rows, f"{self.root}/{name}", cutoff_date(self.as_of, days_back))
+        table = self.snapshots(name)
+        if exists(self.spark, table.path) and not is_snapshot(self.spark, table.path) and not exists(self.spark, f"{table.path}/data"):
+            table.rebuild(read_mart(self.spark, self.root, name), None)  # a table of day folders becomes the first version
+        return table.rebuild(rows, cutoff_date(self.as_of, days_back))
 
     def build_fact(self, days_back: int = marts.DEFAULT_DAYS) -> int:
         rows = marts.daily_item_sales(self.orders(days_back))
@@ -96,12 +112,12 @@ class DailyRun:
 
     def build_kpi(self, days_back: int = marts.DEFAULT_DAYS, per_line: bool = False) -> int:
         rows = marts.build_kpi(
-            self.facts(), self.orders(days_back), self.as_of, days_back, per_line
+            self.facts(days_back), self.orders(days_back), self.as_of, days_back, per_line
         )
         return self._rebuild(rows, "kpi_daily_brand", days_back, "last_updated_at")
 
     def run_checks(self, days_back: int = quality.DEFAULT_DAYS) -> int:
-        rows = quality.fact_checks(self.facts(), self.as_of, days_back)
+        rows = quality.fact_checks(self.facts(days_back), self.as_of, days_back)
         path, own = f"{self.root}/dq_results", scratch_path(self.spark, "checks")
         shaped(rows, "dq_results", run_ts=now_column()).write.parquet(own)
         rows = self.spark.read.schema(MART["dq_results"]).parquet(own)
@@ -112,7 +128,7 @@ class DailyRun:
 
     def detect(self, days_back: int = anomalies.DEFAULT_DAYS, as_written: bool = False) -> int:
         rows = anomalies.detect_anomalies(
-            self.facts(), self.as_of, days_back, as_written
+            self.facts(days_back + anomalies.HISTORY_DAYS), self.as_of, days_back, as_written
         )
         return self._rebuild(rows, "sales_anomalies", days_back, "detected_at")
 
@@ -146,4 +162,5 @@ class DailyRun:
 
     def recent(self, name: str, days_back: int) -> DataFrame:
         """The window of a mart table."""
-        return self.mart(name).filter(in_window(F.col("date"), cutoff_date(self.as_of, days_back)))
+        since = cutoff_date(self.as_of, days_back)
+        return read_mart(self.spark, self.root, name, since).filter(in_window(F.col("date"), since))

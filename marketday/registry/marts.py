@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from marketday.operators.rebuild import cutoff_date, in_window, rebuild_partitions, rebuilt
+from marketday.operators.snapshots import SnapshotTable
 from marketday.plans import anomalies, marts, quality, views
 from marketday.plans.daily_run import DailyRun
 from marketday.registry.base import AS_OF, Registry, brand_fact, roles, shown, shown_sql, stored, with_fact, with_roles
@@ -228,6 +229,30 @@ def rebuild_window_stored(spark, sf_dir):
     return _per_day(spark.read.schema(target.schema).parquet(path))
 
 
+@R.add("rebuild_window_snapshot", _REBUILT)
+def rebuild_window_snapshot(spark, sf_dir):
+    """The trailing week of a table of versions: the newest version after the rebuild is committed."""
+    target, fresh, cutoff = _stale(spark, sf_dir)
+    table = SnapshotTable(spark, scratch_path(spark, "versions"), target.schema)
+    table.rebuild(target, None)
+    table.rebuild(fresh, cutoff)
+    return _per_day(table.read())
+
+
+@R.add("rebuild_window_before", with_fact(f"""
+SELECT CAST(CAST(date_trunc('week', date) AS DATE) AS VARCHAR) AS date, CAST(sum(order_lines) AS BIGINT) AS order_lines,
+       CAST(sum(CASE WHEN date >= {AS_OF} - 30 THEN 2 ELSE 1 END * net_sales) AS DOUBLE) AS net_sales
+FROM fact GROUP BY ALL"""))
+def rebuild_window_before(spark, sf_dir):
+    """What a reader that started before a rebuild goes on seeing: the version it opened; one folder a week."""
+    target, fresh, cutoff = _stale(spark, sf_dir, "week")
+    table = SnapshotTable(spark, scratch_path(spark, "versions"), target.schema)
+    table.rebuild(target, None)
+    opened = table.read()
+    table.rebuild(fresh, cutoff)
+    return _per_day(opened)
+
+
 @R.add("p_daily_run", with_fact(f"""
 , week AS (SELECT * FROM fact WHERE date >= {AS_OF} - 7)
 SELECT 'build_fact' AS step, true AS success, count(*) AS rows_affected, '' AS error,
