@@ -247,20 +247,27 @@ def trailing_order_stats(
     groups = [*keys, day]
     counted = df.filter(F.col("v").isNotNull()).groupBy(*groups, "v").agg(F.count(F.lit(1)).alias("c"))
 
-    def covering(daily: DataFrame) -> DataFrame:
-        """Each daily record once for every day of interest whose frame covers it."""
-        return (
-            daily
-            .withColumn("from_day", F.greatest(F.date_add(day, 1), F.lit(first_day)))
-            .withColumn("to_day", F.least(F.date_add(day, window), F.lit(last_day)))
-            .filter("from_day <= to_day")
-            .withColumn(day, F.explode(F.sequence("from_day", "to_day")))
+    def framed(daily: DataFrame) -> DataFrame:
+        """Counts and sums per key, day of interest and band.
+
+        A daily record enters the frames on the next day and leaves them ``window`` days later: two changes, whatever
+        the window.  Their running sums by day hold until the next change, and only those above zero become rows.
+        """
+        changes = daily.select(*keys, "band", F.explode(F.array(
+            F.struct(F.date_add(day, 1).alias("at"), "c", "s"),
+            F.struct(F.date_add(day, window + 1).alias("at"), (-F.col("c")).alias("c"), (-F.col("s")).alias("s")),
+        )).alias("x")).groupBy(*keys, "band", F.col("x.at").alias("at")).agg(F.sum("x.c").alias("c"), F.sum("x.s").alias("s"))
+        upto = Window.partitionBy(*keys, "band").orderBy("at")
+        held = changes.select(
+            *keys, "band", F.sum("c").over(upto).alias("c"), F.sum("s").over(upto).alias("s"),
+            F.greatest("at", F.lit(first_day)).alias("from_day"),
+            F.least(F.date_sub(F.lead("at").over(upto), 1), F.lit(last_day)).alias("to_day"),
         )
+        days = F.explode(F.sequence("from_day", "to_day")).alias(day)
+        return held.filter("c > 0 AND from_day <= to_day").select(*keys, days, "band", "c", "s")
 
     counted = stage(_with_band(counted, bits), "counts")
-    bands = covering(_bands(counted, groups)).groupBy(*groups, "band").agg(
-        F.sum("c").alias("c"), F.sum("s").alias("s")
-    )
+    bands = framed(_bands(counted, groups))
 
     def block(days) -> Column:
         return F.floor(F.unix_date(days) / window)
