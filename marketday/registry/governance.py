@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketday.operators.graph import khop
 from marketday.plans import glossary, inventory, lineage
 from marketday.registry.base import Registry, source, stored
+from marketday.session import stage
 from marketday.sources.standin import TEST_SCHEMAS, TEST_TABLES
 
 R = Registry()
@@ -198,6 +202,24 @@ def column_dictionary(spark, sf_dir):
     return inventory.column_dictionaries(tables)
 
 
+@R.add("column_dictionary_merged", f"""
+SELECT table_name, position, column_name, row_count, null_count, true AS within_bound FROM ({_dictionary_sql()})""")
+def column_dictionary_merged(spark, sf_dir):
+    """Every table as two loads with stored sketches; merged rows and NULLs, and whether the estimate keeps its bound."""
+    tables = {name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in TEST_TABLES}
+    half = {name: F.pmod(F.xxhash64(F.col(df.columns[0])), F.lit(2)) for name, df in tables.items()}
+    loads = [
+        inventory.column_sketches(name, df.filter(half[name] == k), f"load {k}") for name, df in tables.items() for k in (0, 1)
+    ]
+    merged = inventory.merged_dictionary(stage(reduce(DataFrame.unionByName, loads), "sketches"))
+    exact = inventory.column_dictionaries(tables).select("table_name", "position", "distinct_count")
+    off = F.abs(F.col("distinct_estimate") - F.col("distinct_count"))
+    return merged.join(exact, ["table_name", "position"]).select(
+        "table_name", "position", "column_name", "row_count", "null_count",
+        (off <= F.ceil(inventory.ERROR * F.col("distinct_count"))).alias("within_bound"),
+    )
+
+
 @R.add("corpus_inventory", """
 WITH files AS (SELECT source || '_' || doc_id || CASE lang WHEN 'en' THEN '.sql' WHEN 'de' THEN '.PY' WHEN 'fr' THEN '.Java'
                  WHEN 'es' THEN '.scala' ELSE '.txt' END AS name, text AS content, lang FROM documents),

@@ -155,3 +155,34 @@ def test_corpus_inventory(spark):
     files = spark.createDataFrame([("A.SQL", "select 1"), ("n.txt", "")], "name string, content string")
     got = sorted(tuple(r) for r in inventory.corpus_inventory(files).collect())
     assert got == [("A.SQL", "SQL", 8, "FILE: A.SQL (language: SQL)"), ("n.txt", "", 0, "FILE: n.txt (language: )")]
+
+
+def test_column_dictionary_of_odd_columns(spark):
+    df = spark.createDataFrame(
+        [(0.0, [1, 2], {"a": 1}, "x" * 500, None), (-0.0, [1, 2], {"a": 1}, "x" * 499 + "y", None), (float("nan"), None, None, "", None)],
+        "d double, a array<int>, m map<string,int>, `s.t` string, nothing date",
+    )
+    got = {r["column_name"]: (r["row_count"], r["null_count"], r["distinct_count"]) for r in inventory.column_dictionary("t", df).collect()}
+    assert got == {"d": (3, 0, 2), "a": (3, 1, 1), "m": (3, 1, 1), "s.t": (3, 0, 3), "nothing": (3, 3, 0)}
+    none = inventory.column_dictionary("t", df.limit(0)).collect()
+    assert [(r["row_count"], r["distinct_count"]) for r in none] == [(0, 0)] * 5
+
+
+def test_column_dictionary_moves_no_text(spark):
+    df = spark.createDataFrame([("text", 1)], "a string, b int")
+    plan = inventory.column_dictionary("t", df)._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert plan.count("Scan ExistingRDD") == 1 and moved and all("h1" in line or "hashpartitioning(i" in line for line in moved)
+
+
+def test_sketches_of_loads_merge(spark):
+    def load(a, b, name):
+        df = spark.range(a, b).selectExpr("id", "id % 7 AS few", "CASE WHEN id % 2 = 0 THEN cast(id AS string) END AS half")
+        return inventory.column_sketches("t", df, name)
+
+    loads = load(0, 60_000, "one").unionByName(load(40_000, 100_000, "two")).unionByName(load(0, 0, "empty"))
+    got = {r["column_name"]: r for r in inventory.merged_dictionary(loads).collect()}
+    assert [got[c]["row_count"] for c in ("id", "half")] == [120_000, 120_000] and got["half"]["null_count"] == 60_000
+    for column, n in {"id": 100_000, "few": 7, "half": 50_000}.items():
+        assert abs(got[column]["distinct_estimate"] - n) <= inventory.ERROR * n
+    assert loads.where("length(sketch) > 10000").count() == 0  # a few kilobytes, whatever the number of values
