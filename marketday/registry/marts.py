@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketday.operators.rebuild import cutoff_date, in_window, rebuild_partitions, rebuilt
@@ -253,6 +255,27 @@ def rebuild_window_before(spark, sf_dir):
     return _per_day(opened)
 
 
+_WINDOWS = (7, 30, 365)
+
+
+@R.add("kpi_distinct_orders", with_roles(" UNION ALL ".join(
+    f"""SELECT CAST({n} AS BIGINT) AS days_back, truck_brand_name, count(DISTINCT order_id) AS distinct_orders
+    FROM orders_v WHERE date >= {AS_OF} - {n} GROUP BY truck_brand_name
+    UNION ALL SELECT {n}, 'all brands', count(DISTINCT order_id) FROM orders_v WHERE date >= {AS_OF} - {n} HAVING count(*) > 0""" for n in _WINDOWS)))
+def kpi_distinct_orders(spark, sf_dir):
+    """Distinct orders of several windows, by brand and over all, from the stored daily bitmaps: the orders are scanned once."""
+    t = roles(spark, sf_dir)
+    as_of = latest_order_date(t)
+    kept = stored(marts.order_bitmaps(marts.window_orders(t, as_of, max(_WINDOWS))))
+    out = []
+    for n in _WINDOWS:
+        cutoff = cutoff_date(as_of, n)
+        by_brand = marts.distinct_orders(kept, cutoff)
+        overall = marts.distinct_orders(kept, cutoff, ()).select(F.lit("all brands").alias("truck_brand_name"), "distinct_orders")
+        out.append(by_brand.unionByName(overall.filter("distinct_orders > 0")).withColumn("days_back", F.lit(n)))
+    return reduce(DataFrame.unionByName, out)
+
+
 @R.add("p_daily_run", with_fact(f"""
 , week AS (SELECT * FROM fact WHERE date >= {AS_OF} - 7)
 SELECT 'build_fact' AS step, true AS success, count(*) AS rows_affected, '' AS error,

@@ -257,3 +257,14 @@ def test_nothing_is_said_about_facts_that_were_never_built(spark, sf_dir, tmp_pa
     spark.range(1).write.parquet(str(tmp_path / "none/fact_daily_item_sales"))
     with pytest.raises(ValueError, match="no column"):
         run.run_checks()
+
+
+def test_distinct_orders_add_up_over_days_and_brands(spark):
+    rows = [(D, "A", 1), (D, "A", 1), (D, "B", 1), (D - dt.timedelta(days=1), "A", 1), (D - dt.timedelta(days=1), "A", 32_769), (D, "A", 10**12), (D, "A", None), (D - dt.timedelta(days=9), "B", 7)]
+    orders = spark.createDataFrame([(dt.datetime.combine(d, dt.time(12)), b, o) for d, b, o in rows], "order_ts timestamp_ntz, truck_brand_name string, order_id bigint")
+    kept = marts.order_bitmaps(orders)
+    assert kept.count() == 6  # day, brand and block; a null order is in none
+    since = D - dt.timedelta(days=3)
+    assert {r[0]: r[1] for r in marts.distinct_orders(kept, since).collect()} == {"A": 3, "B": 1}
+    assert marts.distinct_orders(kept, since, ()).collect()[0][0] == 3
+    assert marts.distinct_orders(kept, D - dt.timedelta(days=9), ()).collect()[0][0] == 4
