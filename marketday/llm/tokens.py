@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 TOKENIZER = "word_bpe_49k.json"
-MEMORY = 48_000_000  # bytes of remembered pieces, their parts and ids; at the bound the memory starts afresh
+MEMORY = 112_000_000  # bytes of remembered pieces, their parts and ids; at the bound the memory starts afresh
 ENTRY = 150  # bytes that an entry of a dictionary takes besides its letters
 SLICE = 2_000_000  # bytes of text taken at a time
 
