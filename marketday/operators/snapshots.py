@@ -80,6 +80,13 @@ class SnapshotTable:
             raise KeyError(f"{self.path} has no version {version}")
         return json.loads(self._text(f"manifests/{known[version]}.json"))
 
+    def note(self, version: int | None = None) -> dict:
+        """What was committed along with the newest version, or the one asked for; empty where nothing was."""
+        known = self.versions()
+        manifest = known.get(max(known, default=0) if version is None else version)
+        name = f"notes/{manifest}.json"
+        return json.loads(self._text(name)) if manifest and exists(self.spark, f"{self.path}/{name}") else {}
+
     def read(self, version: int | None = None, since: dt.date | None = None) -> DataFrame:
         """The newest version, or the one asked for; ``since`` leaves earlier days (and rows without one) unlisted."""
         days = self.days(version)
@@ -93,7 +100,9 @@ class SnapshotTable:
 
     # ---- writing --------------------------------------------------------------------------------------
 
-    def _replaced(self, days: dict[str, str], cutoff: dt.date | None) -> set[str]:
+    def _replaced(self, days: dict[str, str], cutoff: dt.date | None, only: set[str] | None = None) -> set[str]:
+        if only is not None:
+            return set(days) & only
         return {d for d in days if cutoff is None or (d != NO_DAY and d >= cutoff.isoformat())}
 
     def rebuild(self, fresh: DataFrame, cutoff: dt.date | None) -> int:
@@ -104,32 +113,56 @@ class SnapshotTable:
         a run that finds a day of its window changed meanwhile ends with :class:`Overtaken` and changes nothing.
         """
         base = self.days()
-        batch = uuid.uuid4().hex
         if cutoff is not None:
             fresh = fresh.filter(in_window(F.col(self.day), cutoff))
+        folder, written = self._batch(fresh)
+        self.commit(written, cutoff, base)
+        return self._rows(folder, written)
+
+    def replace(self, fresh: DataFrame, days: set[dt.date | None], note: dict, seen: dict) -> int:
+        """Replace the named days (None: rows without one) by ``fresh``, which holds no others, and commit ``note`` with them; rows written.
+
+        Days and note change together or not at all.  ``seen`` is the note that this run started from: where another
+        run has committed a new one or any of the days, this one ends with :class:`Overtaken`.
+        """
+        base = self.days()
+        folder, written = self._batch(fresh)
+        only = {NO_DAY if d is None else d.isoformat() for d in days}
+        if not set(written) <= only:
+            raise ValueError(f"rows of days that are not replaced: {sorted(set(written) - only)[:10]}")
+        self.commit(written, None, base, only, note, seen)
+        return self._rows(folder, written)
+
+    def _batch(self, fresh: DataFrame) -> tuple[str, dict[str, str]]:
+        """Rows written as a batch of their own: its folder, and the days it holds."""
+        batch = uuid.uuid4().hex
         folder = f"data/batch={batch}"
         fresh = fresh.select(*self.schema.fieldNames())
         fresh.hint("rebalance", F.col(self.day)).write.partitionBy(self.day).parquet(f"{self.path}/{folder}")
-        written = {n.split("=", 1)[1]: batch for n in self._names(folder) if n.startswith(f"{self.day}=")}
-        self.commit(written, cutoff, base)
-        if not written:
-            return 0
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{folder}").count()  # from footers
+        return folder, {n.split("=", 1)[1]: batch for n in self._names(folder) if n.startswith(f"{self.day}=")}
+
+    def _rows(self, folder: str, written: dict[str, str]) -> int:
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{folder}").count() if written else 0  # from footers
 
-    def commit(self, written: dict[str, str], cutoff: dt.date | None, base: dict[str, str]) -> int:
-        """The version in which ``written`` stands for all days from the cutoff on."""
+    def commit(
+        self, written: dict[str, str], cutoff: dt.date | None, base: dict[str, str],
+        only: set[str] | None = None, note: dict | None = None, seen: dict | None = None,
+    ) -> int:
+        """The version in which ``written`` stands for all days from the cutoff on, or for those in ``only``; a note stays until it is replaced."""
         while True:
-            now = self.days()
-            mine = self._replaced(now | base, cutoff)
-            if any(now.get(d) != base.get(d) for d in mine):
-                raise Overtaken(f"{self.path}: days from {cutoff} on were committed by another run")
+            now, said = self.days(), self.note()
+            mine = self._replaced(now | base | written, cutoff, only)
+            if any(now.get(d) != base.get(d) for d in mine) or (note is not None and said != seen):
+                raise Overtaken(f"{self.path}: what this run replaces was committed by another run")
             days = {d: b for d, b in now.items() if d not in mine} | written
             manifest = uuid.uuid4().hex
             self._create(f"manifests/{manifest}.json", json.dumps(days, sort_keys=True))
+            if note is not None or said:
+                self._create(f"notes/{manifest}.json", json.dumps(said if note is None else note, sort_keys=True))
             numbers = [int(n) for n in self._names("commits") if n.isdigit()]
             version = max(numbers, default=0) + 1
-            # the days may have changed since they were read only where a newer version exists
-            if self.days() == now and self._create(f"commits/{version:012d}", manifest):
+            # what is committed may have changed since it was read only where a newer version exists
+            if self.days() == now and self.note() == said and self._create(f"commits/{version:012d}", manifest):
                 return version
 
     def expire(self, keep: int = 2) -> int:
@@ -151,6 +184,7 @@ class SnapshotTable:
         for v in gone:
             drop_path(self.spark, f"{self.path}/commits/{v:012d}")
             drop_path(self.spark, f"{self.path}/manifests/{known[v]}.json")
+            drop_path(self.spark, f"{self.path}/notes/{known[v]}.json")
         return removed
 
 

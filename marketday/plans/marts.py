@@ -24,11 +24,15 @@ def window_orders(t: Tables, as_of: dt.date, days_back: int) -> DataFrame:
     window, which skips row groups and files where ids grow with time.
     """
     recent = t["order_header"].filter(F.col("order_ts") >= F.lit(cutoff_date(as_of, days_back)))
-    lines = t["order_detail"].filter(
-        (F.col("order_id") >= recent.select(F.min("order_id")).scalar())
-        & (F.col("order_id") <= recent.select(F.max("order_id")).scalar())
+    return orders_v(t, recent, lines_between(t["order_detail"], recent))
+
+
+def lines_between(lines: DataFrame, header: DataFrame) -> DataFrame:
+    """The order lines from the smallest to the largest order id of these headers."""
+    return lines.filter(
+        (F.col("order_id") >= header.select(F.min("order_id")).scalar())
+        & (F.col("order_id") <= header.select(F.max("order_id")).scalar())
     )
-    return orders_v(t, recent, lines)
 
 
 def daily_item_sales(orders: DataFrame) -> DataFrame:

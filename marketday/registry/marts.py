@@ -15,6 +15,7 @@ from marketday.plans.daily_run import DailyRun
 from marketday.registry.base import AS_OF, Registry, brand_fact, roles, shown, shown_sql, stored, with_fact, with_roles
 from marketday.session import scratch_path
 from marketday.sources.standin import RoleTables, latest_order_date
+from marketday.streaming.facts import FactFeed
 
 R = Registry()
 
@@ -255,6 +256,27 @@ def rebuild_window_before(spark, sf_dir):
     return _per_day(opened)
 
 
+def _drop(t, inbox: str, source: str, rows: str) -> None:
+    t[source].filter(rows).write.mode("append").options(header="false", escape='"', emptyValue="").csv(f"{inbox}/{source}")
+
+
+@R.add("p_fact_incremental", with_fact(f"SELECT {_FACT_OUT} FROM fact"))
+def p_fact_incremental(spark, sf_dir):
+    """Facts of all days from a feed that ran after each of three drops: most orders, lines ahead of their headers, the rest late."""
+    t = roles(spark, sf_dir)
+    inbox, root = scratch_path(spark, "inbox"), scratch_path(spark, "fed-marts")
+    feed = FactFeed(spark, t, inbox, root)
+    for headers, lines in (
+        ("order_id % 10 < 8", "order_id % 10 < 7"),
+        ("order_id % 10 = 8", "order_id % 10 = 7 OR order_id % 10 = 9"),
+        ("order_id % 10 = 9", "order_id % 10 = 8"),
+    ):
+        _drop(t, inbox, "order_header", headers)
+        _drop(t, inbox, "order_detail", lines)
+        feed.run()
+    return feed.mart.read().drop("last_updated_at")
+
+
 _WINDOWS = (7, 30, 365)
 
 
