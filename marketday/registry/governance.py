@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketday.operators.graph import khop
+from marketday.operators.graph import khop, khop_many
 from marketday.plans import glossary, inventory, lineage
 from marketday.registry.base import Registry, source, stored
 from marketday.session import stage
@@ -76,6 +76,23 @@ def lineage_khop_deep(spark, sf_dir):
     return khop(stored(edges(spark, sf_dir)), "nation:3", 5)
 
 
+_MANY = [f"nation:{n}" for n in range(24)] + [f"supplier:{n}" for n in range(1, 40)] + ["region:1"]
+
+
+@R.add("lineage_khop_many", f"""WITH RECURSIVE {EDGES_SQL},
+targets AS (SELECT unnest({_MANY!r}) AS target),
+down AS (SELECT target, target AS node, 0 AS hop FROM targets
+         UNION SELECT target, dst, hop + 1 FROM down JOIN edges ON src = node WHERE hop < 3),
+up AS (SELECT target, target AS node, 0 AS hop FROM targets
+       UNION SELECT target, src, hop + 1 FROM up JOIN edges ON dst = node WHERE hop < 3)
+SELECT target, node, 'down' AS direction, CAST(min(hop) AS BIGINT) AS hop FROM down WHERE node <> target GROUP BY ALL
+UNION ALL SELECT target, node, 'up', CAST(min(hop) AS BIGINT) FROM up WHERE node <> target GROUP BY ALL
+UNION ALL SELECT target, target, 'target', 0 FROM targets""")
+def lineage_khop_many(spark, sf_dir):
+    """Nodes within three hops of 64 nations, suppliers and a region, in one search."""
+    return khop_many(stored(edges(spark, sf_dir)), _MANY, 3)
+
+
 def _kind():
     kinds = {"region": "source", "nation": "stage", "supplier": "transform", "part": "table", "brand": "view"}
     kind = F.lit(None).cast("string")

@@ -1,9 +1,10 @@
 import json
+import random
 
 import pytest
 
 from marketday.operators import objects
-from marketday.operators.graph import induced_edges, khop, nearest_nodes
+from marketday.operators.graph import induced_edges, khop, khop_many, nearest_nodes
 from marketday.plans import glossary, inventory, lineage
 from pyspark.sql import functions as F
 
@@ -36,6 +37,34 @@ def test_unknown_target_is_alone(spark):
     assert hops(khop(edges(spark, CYCLE), "zzz", 2)) == [("target", "zzz", 0)]
 
 
+def test_many_targets_are_as_one_by_one(spark):
+    """All 64 bits, the sign bit among them; cycles, loops, double edges, a hub and a target without edges."""
+    rng = random.Random(4)
+    pairs = [(f"n{rng.randint(0, 40)}", f"n{rng.randint(0, 40)}") for _ in range(45)] + [("n1", "n1"), ("n2", "n3"), ("n2", "n3")]
+    pairs += [("hub", f"n{i}") for i in range(40)]
+    graph = edges(spark, pairs)
+    targets = [f"n{i}" for i in range(41)] + ["hub", "unknown"] + [f"zz{i}" for i in range(21)]
+    assert len(targets) == 64
+    steps = {"down": {}, "up": {}}
+    for a, b in pairs:
+        steps["down"].setdefault(a, set()).add(b)
+        steps["up"].setdefault(b, set()).add(a)
+    want = []
+    for t in targets:
+        want.append((t, "target", t, 0))
+        for direction, nexts in steps.items():
+            seen, front = {t}, {t}
+            for hop in range(1, 4):
+                front = {b for a in front for b in nexts.get(a, ())} - seen
+                seen |= front
+                want += [(t, direction, n, hop) for n in front]
+    got = [(r["target"], r["direction"], r["node"], r["hop"]) for r in khop_many(graph, [*targets, "n1"], 3).collect()]
+    assert sorted(got) == sorted(want)
+    assert hops(khop_many(graph, ["zz1"], 2).drop("target")) == [("target", "zz1", 0)]
+    with pytest.raises(ValueError):
+        khop_many(graph, [*targets, "one more"], 2)
+
+
 @pytest.mark.parametrize("n", [0, 6])
 def test_hops_out_of_range(spark, n):
     with pytest.raises(ValueError):
