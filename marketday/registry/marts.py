@@ -15,7 +15,7 @@ from marketday.plans.daily_run import DailyRun
 from marketday.registry.base import AS_OF, Registry, brand_fact, roles, shown, shown_sql, stored, with_fact, with_roles
 from marketday.session import scratch_path
 from marketday.sources.standin import RoleTables, latest_order_date
-from marketday.streaming.facts import FactFeed
+from marketday.streaming.facts import SOURCES, FactFeed
 
 R = Registry()
 
@@ -256,23 +256,35 @@ def rebuild_window_before(spark, sf_dir):
     return _per_day(opened)
 
 
-def _drop(t, inbox: str, source: str, rows: str) -> None:
-    t[source].filter(rows).write.mode("append").options(header="false", escape='"', emptyValue="").csv(f"{inbox}/{source}")
-
-
 @R.add("p_fact_incremental", with_fact(f"SELECT {_FACT_OUT} FROM fact"))
 def p_fact_incremental(spark, sf_dir):
-    """Facts of all days from a feed that ran after each of three drops: most orders, lines ahead of their headers, the rest late."""
+    """Facts of all days from a feed that ran after each of three drops.
+
+    History but for late lines of its last month; lines of the newest week ahead of their headers; what is left.
+    """
     t = roles(spark, sf_dir)
-    inbox, root = scratch_path(spark, "inbox"), scratch_path(spark, "fed-marts")
-    feed = FactFeed(spark, t, inbox, root)
-    for headers, lines in (
-        ("order_id % 10 < 8", "order_id % 10 < 7"),
-        ("order_id % 10 = 8", "order_id % 10 = 7 OR order_id % 10 = 9"),
-        ("order_id % 10 = 9", "order_id % 10 = 8"),
-    ):
-        _drop(t, inbox, "order_header", headers)
-        _drop(t, inbox, "order_detail", lines)
+    as_of = latest_order_date(t)
+    header, lines = t["order_header"], t["order_detail"]
+
+    def split(days):
+        return (F.col("order_ts") >= F.lit(cutoff_date(as_of, days))) | F.col("order_ts").isNull()
+
+    newest = header.filter(split(7)).select("order_id")
+    late = header.filter(split(30) & ~split(7) & (F.col("order_id") % 3 == 0)).select("order_id")
+    later = newest.unionByName(late)
+    drops = (
+        {"order_header": header.filter(~split(7)), "order_detail": lines.join(later, "order_id", "left_anti")},
+        {"order_detail": lines.join(newest, "order_id", "left_semi")},
+        {"order_header": header.filter(split(7)), "order_detail": lines.join(late, "order_id", "left_semi")},
+    )
+    inbox = scratch_path(spark, "inbox")
+    feed = FactFeed(spark, t, inbox, scratch_path(spark, "fed-marts"))
+    for source in SOURCES:  # streams read folders that are there
+        t[source].limit(0).write.csv(f"{inbox}/{source}")
+    for drop in drops:
+        for source, rows in drop.items():
+            rows = rows.select(t[source].columns)
+            rows.write.mode("append").options(header="false", escape='"', emptyValue="").csv(f"{inbox}/{source}")
         feed.run()
     return feed.mart.read().drop("last_updated_at")
 
