@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from marketday.llm.common import Scratch, gapless
 
 DIGITS = 3  # hexadecimal digits a round adds to a boundary: 4096 probes in its interval
-LENGTH = 32  # of a key
+LENGTH = 48  # of a key
 TOLERANCE = 0.001  # of a shard's ideal bytes
 
 
@@ -19,6 +19,13 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"size": (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long"), "_key": F.concat(*halves)})
 
 
+def _told_apart(rows: DataFrame) -> DataFrame:
+    """Written rows with their place in the table as the last part of the order, so that rows alike in id and text differ."""
+    place = rows.metadataColumn("_metadata")
+    own = F.xxhash64(F.lit("copy"), place.getField("file_name"), place.getField("row_index"))
+    return rows.withColumn("_key", F.concat("_key", F.lpad(F.hex(own), 16, "0")))
+
+
 def splitters(keys: DataFrame, shards: int) -> tuple[list[str], int]:
     """(boundaries, rows) for ``keys`` (_key, size): shard i takes the keys from boundary i-1 up to boundary i.
 
@@ -58,23 +65,27 @@ def shard(docs: DataFrame, shards: int = 16) -> DataFrame:
     """All rows of ``docs`` with ``size`` (UTF-8 bytes of the text, null: none, plus 1), ``shard`` and ``slot``.
 
     Law ``bytes``: a boundary is off its ideal place by no more than half the tolerance (0.1 % of a shard) or half a
-    row.  Rows are sorted by (hash of text, hash of id and text): equal texts lie side by side and are split
-    between shards only where a boundary falls among them.  Rows alike in id and text cannot be told apart and
-    share a shard.  Slots are gapless from 0 in each shard.  An empty table gives an empty result.
+    row.  Rows are sorted by (hash of text, hash of id and text, place in the written table): equal texts lie side by side
+    and are split between shards only where a boundary falls among them, rows alike in id and text too.  Slots are
+    gapless from 0 in each shard.  An empty table gives an empty result.
 
-    The rounds read a written table of keys and sizes and move sums only; the rows themselves move once, when they are
-    numbered.  No shard has to fit in one task.
+    The rows are written once, which fixes their places for every later step, also where an executor is lost; the rounds
+    read keys and sizes of that table and move sums only, and the rows move once, when they are numbered.  No shard and no
+    row's copies have to fit in one task.
     """
-    keyed = _keyed(docs)
-    keys = Scratch(docs.sparkSession, "sharding").put(keyed.select("_key", "size"), "keys")
-    bounds, rows = splitters(keys, shards)
+    return _dealt(_keyed(docs), shards)
+
+
+def _dealt(keyed: DataFrame, shards: int) -> DataFrame:
+    rows = _told_apart(Scratch(keyed.sparkSession, "sharding").put(keyed, "rows"))
+    bounds, n = splitters(rows.select("_key", "size"), shards)
     number = sum(((F.col("_key") >= b).cast("int") for b in bounds), F.lit(0))
-    return gapless(keyed.withColumn("shard", number), ["shard"], ["_key"], "slot", rows).drop("_key")
+    return gapless(rows.withColumn("shard", number), ["shard"], ["_key"], "slot", n).drop("_key")
 
 
-def digest(docs: DataFrame) -> DataFrame:
+def digest(docs: DataFrame, shards: int = 16) -> DataFrame:
     plain = docs.select("doc_id", "text").withColumn("text_crc32", F.crc32(F.coalesce("text", F.lit("")).cast("binary")))
-    return shard(plain).select(
+    return _dealt(_keyed(plain).drop("text"), shards).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )

@@ -141,6 +141,29 @@ def test_a_hot_group_is_split_and_the_rest_lies_together(spark):
     assert len(shards["hot"]) >= 5 and sum(len(s) > 1 for t, s in shards.items() if t != "hot") <= 7
 
 
+def test_a_row_that_repeats_is_dealt_over_shards(spark):
+    """One row makes a third of the table: its copies differ in nothing but where they stand."""
+    rows = [(i, f"text {i}") for i in range(4000)] + [(1, "one row again and again")] * 2000
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    out = sharding.shard(df, 16).collect()
+    assert collections.Counter((r["doc_id"], r["text"]) for r in out) == collections.Counter(rows)
+    sizes, slots = collections.Counter(), collections.defaultdict(list)
+    for r in out:
+        sizes[r["shard"]] += r["size"]
+        slots[r["shard"]].append(r["slot"])
+    share = sum(sizes.values()) / 16
+    assert len(sizes) == 16 and all(abs(n - share) <= 30 for n in sizes.values())
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+    short = sharding.digest(df).collect()
+    assert collections.Counter(r["shard"] for r in short).keys() == sizes.keys() and len(short) == 6000
+
+
+def test_sharding_of_a_very_long_text(spark):
+    df = spark.createDataFrame([(1, "long " * 600_000), (2, "a"), (3, None)], "doc_id bigint, text string")
+    out = {r["doc_id"]: r["size"] for r in sharding.digest(df).collect()}
+    assert out == {1: 3_000_001, 2: 2, 3: 1}
+
+
 def test_sharding_nothing_and_one_row(spark, nothing):
     assert sharding.digest(nothing).collect() == []
     one = sharding.digest(spark.createDataFrame([(None, None)], "doc_id bigint, text string")).first()
