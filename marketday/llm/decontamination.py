@@ -9,6 +9,7 @@ and the mask 1000010000100001.
 from __future__ import annotations
 
 import math
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -20,35 +21,45 @@ from pyspark.sql import functions as F
 from marketday.llm.common import Scratch, row_key
 from marketday.llm.tokens import slices
 
-MIN_ITEM = 5  # items of fewer words carry no passage and match nothing
 STRETCH = 20  # aligned words judged together; a shorter item is judged whole
 SHARE = 0.8  # of a stretch that must be equal
-FILTER_BITS = 24  # the filter's size does not depend on any table
+FILTER_BITS = 24  # the filter's size does not depend on any table; half full at about ten million item seeds
+# Scripts written without spaces between words: Thai, Lao, Burmese, Khmer, kana, Han.
+UNSPACED = re.compile("([\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff])")
 
 WORDS = "r1 bigint, r2 bigint, doc_id bigint, base bigint, words array<bigint>, hits array<struct<h:bigint, pos:bigint>>"
 
 
+def _stripped(w: str) -> str:
+    a, b = 0, len(w)
+    while a < b and not w[a].isalnum():
+        a += 1
+    while b > a and not w[b - 1].isalnum():
+        b -= 1
+    return w[a:b]
+
+
+def words_in(piece: str) -> list[str]:
+    """The words of a piece between white space, without the marks at their ends: one, none, or each character of a script without spaces."""
+    if piece.isalnum() and piece.isascii():
+        return [piece]
+    parts = [piece] if piece.isascii() else UNSPACED.split(piece)
+    return [w for w in map(_stripped, parts) if w]
+
+
 def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(64-bit word hashes of all texts, bounds): lower case, pieces between white space, without the marks at their ends."""
+    """(64-bit word hashes of all texts, bounds): lower case, the words of the pieces between white space."""
     pieces = pc.ascii_split_whitespace(pc.utf8_lower(texts))
     coded = pieces.flatten().dictionary_encode()
-    known = np.empty(len(coded.dictionary), dtype=np.uint64)
-    there = np.empty(len(coded.dictionary), dtype=bool)
-    for i, w in enumerate(coded.dictionary.to_pylist()):
-        if not w.isalnum():
-            a, b = 0, len(w)
-            while a < b and not w[a].isalnum():
-                a += 1
-            while b > a and not w[b - 1].isalnum():
-                b -= 1
-            w = w[a:b]
-        there[i] = bool(w)
-        known[i] = xxhash.xxh64_intdigest(w)
-    at = coded.indices.to_numpy(zero_copy_only=False)
-    keep = there[at] if len(at) else np.zeros(0, dtype=bool)
-    before = np.concatenate([[0], np.cumsum(keep)])
-    bounds = before[pieces.offsets.to_numpy() - pieces.offsets[0].as_py()]
-    return (known[at][keep] if len(at) else np.zeros(0, dtype=np.uint64)), bounds
+    split = [words_in(p) for p in coded.dictionary.to_pylist()]
+    known = np.array([xxhash.xxh64_intdigest(w) for words in split for w in words], dtype=np.uint64)
+    held = np.array([len(words) for words in split], dtype=np.int64)
+    at = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    n = held[at] if len(at) else np.zeros(0, dtype=np.int64)
+    before = np.concatenate([[0], np.cumsum(n)])
+    first = (np.cumsum(held) - held)[at] if len(at) else n  # of a piece's words among the known ones
+    words = known[np.repeat(first - before[:-1], n) + np.arange(before[-1])]
+    return words, before[pieces.offsets.to_numpy() - pieces.offsets[0].as_py()]
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -74,6 +85,11 @@ def _masks(n: int) -> list[tuple[int, int]]:
     return [(apart, -(-(need - c) // apart)) for c in range(apart)]
 
 
+def exact(n: int) -> bool:
+    """Whether an item of ``n`` words may differ in none: its mask is the whole item, so a hit is a match."""
+    return n < STRETCH and math.ceil(SHARE * n - 1e-9) == n
+
+
 def shapes(lengths: list[int]) -> list[tuple[tuple[int, ...], int]]:
     """(offsets, salt) of all masks that items of these lengths need."""
     return [(tuple(range(0, d * k, d)), 100 * d + k) for d, k in sorted({m for n in lengths for m in _masks(n)})]
@@ -89,7 +105,7 @@ def _items(batches):
 
 def _item_seeds(batches):
     for batch in batches:
-        out: list[list] = [[], [], []]
+        out: list[list] = [[], [], [], []]
         for item, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             words = np.array(words, dtype=np.int64).view(np.uint64)
             for offsets, salt in shapes([len(words)]):
@@ -97,7 +113,8 @@ def _item_seeds(batches):
                 out[0] += h.view(np.int64).tolist()
                 out[1] += [item] * len(h)
                 out[2] += range(len(h))
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["h", "item_id", "at"])
+                out[3] += [len(words) if exact(len(words)) else 0] * len(h)
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["h", "item_id", "at", "whole"])
 
 
 def _clusters(filter_bits: np.ndarray, lengths: list[int], reach: int):
@@ -179,8 +196,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(r1, r2: the row's key; doc_id, item_id, doc_word, item_word, n_words, n_equal), the best overlap of a document with an item.
 
     A document overlaps an item where, on one alignment, at least 80 % of 20 words in a row are equal (of the whole item, if
-    it is shorter; items under MIN_ITEM words match nothing).  Null texts have no words.  Equal items are
-    reported once, by their smallest id; rows of documents that repeat give one result.
+    it is shorter).  Items of up to four words match where all of them stand in a row, so an item of one common word marks every document
+    that has it.  Not seen: copied runs of under 20 words of a longer item, and of part of a shorter one.  In scripts without
+    spaces a word is a character.  Null texts have no words.  Equal items are reported once, by their smallest id;
+    rows of documents that repeat give one result.
 
     Items' seed hashes set bits in a filter of fixed size (2 MB), which goes to every task; what passes it is joined
     with the items' seeds by hash, so false hits vanish.  Each word neighbourhood then meets its items once.
@@ -189,12 +208,12 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     scratch = Scratch(spark, "seeds")
     items = (
         benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).mapInArrow(_items, "item_id bigint, words array<bigint>")
-        .where(F.size("words") >= MIN_ITEM).groupBy("words").agg(F.min("item_id").alias("item_id")).select("item_id", "words")
+        .where(F.size("words") > 0).groupBy("words").agg(F.min("item_id").alias("item_id")).select("item_id", "words")
     )
     items = scratch.put(items, "items")
     lengths = [r[0] for r in items.select(F.least(F.size("words"), F.lit(STRETCH))).distinct().collect()]
     reach = items.agg(F.max(F.size("words"))).first()[0] or 0
-    own = scratch.put(items.mapInArrow(_item_seeds, "h bigint, item_id bigint, at bigint").distinct(), "own")
+    own = scratch.put(items.mapInArrow(_item_seeds, "h bigint, item_id bigint, at bigint, whole bigint").distinct(), "own")
     slot = F.col("h").bitwiseAND(F.lit((1 << FILTER_BITS) - 1)).alias("s")
     maps = own.select(slot).groupBy(F.expr("s div 32768").alias("k")).agg(F.expr("bitmap_construct_agg(s % 32768)").alias("m")).collect()
     bits = np.zeros((1 << FILTER_BITS) // 8, dtype=np.uint8)
@@ -206,10 +225,20 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     near = scratch.put(rows.mapInArrow(_clusters(bits, lengths, reach), WORDS).dropDuplicates(["r1", "r2", "base"]), "near")
     aligned = (
         near.select("r1", "r2", "base", F.explode("hits").alias("x")).select("r1", "r2", "base", "x.h", "x.pos")
-        .join(own, "h").select("r1", "r2", "base", "item_id", (F.col("pos") - F.col("at")).alias("shift")).distinct()
+        .join(own.where("whole = 0"), "h").select("r1", "r2", "base", "item_id", (F.col("pos") - F.col("at")).alias("shift")).distinct()
     )
     pairs = aligned.join(near.drop("hits"), ["r1", "r2", "base"]).join(items.withColumnRenamed("words", "item_words"), "item_id")
     found = pairs.mapInArrow(_verified, FOUND)
+    if any(map(exact, lengths)):  # their hits need no words to be compared: the first of each document is the answer
+        first = (
+            near.select("r1", "r2", "doc_id", F.explode("hits").alias("x"))
+            .groupBy("r1", "r2", "doc_id", F.col("x.h").alias("h")).agg(F.min("x.pos").alias("doc_word"))
+        )
+        whole = first.join(own.where("whole > 0"), "h").select(
+            "r1", "r2", "doc_id", "item_id", "doc_word", F.col("at").alias("item_word"),
+            F.col("whole").alias("n_words"), F.col("whole").alias("n_equal"),
+        )
+        found = found.unionByName(whole)
     value = F.struct("n_equal", "n_words", (-F.col("doc_word")).alias("a"), (-F.col("item_word")).alias("b"))
     best = found.groupBy("r1", "r2", "doc_id", "item_id").agg(F.max(value).alias("v"))
     return best.select(

@@ -379,7 +379,8 @@ def test_linked_sets_meet_at_a_sketch_level(n, percent):
 
 def plain_words(t):
     out = []
-    for w in re.findall(r"[^ \t\n\x0b\x0c\r]+", (t or "").lower()):
+    spaced = re.sub("([\u0e00-\u0eff\u3040-\u30ff\u4e00-\u9fff])", r" \1 ", (t or "").lower())
+    for w in re.findall(r"[^ \t\n\x0b\x0c\r]+", spaced):
         while w and not w[0].isalnum():
             w = w[1:]
         while w and not w[-1].isalnum():
@@ -392,7 +393,7 @@ def plain_words(t):
 def overlaps(text, item):
     t, b = plain_words(text), plain_words(item)
     need = min(20, len(b))
-    if len(b) < 5:
+    if not b:
         return False
     at = collections.defaultdict(list)
     for i, w in enumerate(b):
@@ -430,6 +431,30 @@ def test_decontamination(spark, docs, rows):
     assert as_rows(kept.select("doc_id", "text")) == collections.Counter((i, t) for i, t in marked if i not in bad)
 
 
+def test_short_items_and_scripts_without_spaces(spark):
+    """Against brute force: one to four words, characters of Thai, Japanese and Chinese, mixed pieces, a frequent word, a very long text."""
+    rng = random.Random(8)
+    han = "".join(chr(0x4E00 + rng.randint(0, 900)) for _ in range(60))
+    thai = "ภาษาไทยไม่มีการเว้นวรรคระหว่างคำในประโยคเดียวกันเสมอไป"
+    kana = "ひらがなとカタカナで書かれた短い文です"
+    items = ["rare", "two words", "a b c", "four of them here", "漢字", han, thai, kana, "GPT漢字test 12", "the", "!!", "…", han[:30]]
+    bench = list(enumerate(items))
+    noisy = "".join("猫" if i % 7 == 3 else c for i, c in enumerate(han))
+    wrong = "".join("猫" if i % 3 == 1 else c for i, c in enumerate(han))
+    docs = [
+        "a rare thing", "RARE!", "rarely", "two  words", "two other words", "words two", "x a b c", "a b x c", "four of\nthem, here.", "four of them",
+        f"前{han}後", noisy, wrong, han[10:32], han[10:28], f"x {thai} y", thai[:20], kana, "字漢", "漢 字", "gpt漢字test 12 x", "gpt漢字 12",
+        "the " * 3000, "one the two the", "", None, "...", " ".join(f"w{i}" for i in range(200_000)) + " rare",
+    ]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string").repartition(3)
+    rows = decontamination.digest(df, spark.createDataFrame(bench, "item_id bigint, text string")).collect()
+    want = {(i, b) for i, t in enumerate(docs) for b, item in bench if overlaps(t, item)}
+    assert {(r["doc_id"], r["item_id"]) for r in rows} == want and len(rows) == len(want)
+    assert {(0, 0), (1, 0), (3, 1), (8, 3), (10, 5), (11, 5), (13, 5), (15, 6), (17, 7), (19, 4), (27, 0)} <= want and (14, 5) not in want and (12, 5) not in want
+    whole = {(r["doc_id"], r["item_id"]): (r["doc_word"], r["item_word"], r["n_words"], r["n_equal"]) for r in rows}
+    assert whole[22, 9] == (0, 0, 1, 1) and whole[23, 9] == (1, 0, 1, 1) and whole[6, 2] == (1, 0, 3, 3) and whole[27, 0] == (200_000, 0, 1, 1)
+
+
 def test_decontamination_of_nothing(spark, docs, nothing):
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert decontamination.digest(docs, none).collect() == []
