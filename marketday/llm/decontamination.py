@@ -39,26 +39,32 @@ def _stripped(w: str) -> str:
     return w[a:b]
 
 
-def words_in(piece: str) -> list[str]:
-    """The words of a piece between white space, without the marks at their ends: one, none, or each character of a script without spaces."""
-    if piece.isalnum() and piece.isascii():
-        return [piece]
-    parts = [piece] if piece.isascii() else UNSPACED.split(piece)
-    return [w for w in map(_stripped, parts) if w]
-
-
 def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(64-bit word hashes of all texts, bounds): lower case, the words of the pieces between white space."""
+    """(64-bit word hashes of all texts, bounds): lower case, pieces between white space, without the marks at their ends.
+
+    A piece is one word or none; one with characters of scripts without spaces is as many words as it has of these, and what stands between them.
+    """
     pieces = pc.ascii_split_whitespace(pc.utf8_lower(texts))
     coded = pieces.flatten().dictionary_encode()
-    split = [words_in(p) for p in coded.dictionary.to_pylist()]
-    known = np.array([xxhash.xxh64_intdigest(w) for words in split for w in words], dtype=np.uint64)
-    held = np.array([len(words) for words in split], dtype=np.int64)
+    known = np.empty(len(coded.dictionary), dtype=np.uint64)
+    held = np.empty(len(coded.dictionary), dtype=np.int64)
+    split: dict[int, list[int]] = {}
+    for i, w in enumerate(coded.dictionary.to_pylist()):
+        if not w.isascii() and UNSPACED.search(w):
+            split[i] = [xxhash.xxh64_intdigest(c) for c in map(_stripped, UNSPACED.split(w)) if c]
+            held[i] = len(split[i])
+            continue
+        if not w.isalnum():
+            w = _stripped(w)
+        held[i] = bool(w)
+        known[i] = xxhash.xxh64_intdigest(w)
     at = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     n = held[at] if len(at) else np.zeros(0, dtype=np.int64)
     before = np.concatenate([[0], np.cumsum(n)])
-    first = (np.cumsum(held) - held)[at] if len(at) else n  # of a piece's words among the known ones
-    words = known[np.repeat(first - before[:-1], n) + np.arange(before[-1])]
+    words = np.repeat(known[at], n) if len(at) else np.zeros(0, dtype=np.uint64)
+    if split:
+        for j in np.flatnonzero(np.isin(at, list(split))):
+            words[before[j] : before[j + 1]] = split[int(at[j])]
     return words, before[pieces.offsets.to_numpy() - pieces.offsets[0].as_py()]
 
 
