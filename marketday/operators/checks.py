@@ -9,7 +9,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 SAMPLE_ROWS = 10  # fixed value
@@ -44,6 +44,33 @@ def duplicate_groups(df: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+class WriteCounts:
+    """Failing rows counted by the job that writes them.
+
+    ``prepare`` marks one row of every group of rows with the same key, where the group has several.  ``watch`` belongs
+    right before the write, after the last shuffle: a task of the last stage that runs again is then counted once,
+    whereas one of an earlier stage would be counted each time.  ``found`` waits for the end of the write.
+    """
+
+    MARK = "_second_of_its_key"
+
+    def __init__(self, unique_key: list[str], **conditions: Column):
+        self.unique_key, self.conditions, self._seen = unique_key, conditions, Observation()
+
+    def prepare(self, df: DataFrame) -> DataFrame:
+        others = [c for c in df.columns if c not in self.unique_key]
+        order = Window.partitionBy(*self.unique_key).orderBy(*(others or self.unique_key))
+        return df.withColumn(self.MARK, F.row_number().over(order) == 2)
+
+    def watch(self, df: DataFrame) -> DataFrame:
+        counts = {name: failing(c) for name, c in self.conditions.items()} | {"twice": F.count_if(self.MARK)}
+        return df.observe(self._seen, *[c.alias(name) for name, c in counts.items()])
+
+    def found(self) -> dict[str, int]:
+        seen = self._seen.get
+        return {name: seen.get(name) or 0 for name in [*self.conditions, "twice"]}
+
+
 def result(
     check: str, severity: str, notes: str, failed: str = "failed_count", sample: Column | None = None
 ) -> Column:

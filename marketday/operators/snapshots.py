@@ -10,6 +10,7 @@ from __future__ import annotations
 import datetime as dt
 import json
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -105,17 +106,18 @@ class SnapshotTable:
             return set(days) & only
         return {d for d in days if cutoff is None or (d != NO_DAY and d >= cutoff.isoformat())}
 
-    def rebuild(self, fresh: DataFrame, cutoff: dt.date | None) -> int:
+    def rebuild(self, fresh: DataFrame, cutoff: dt.date | None, watch: Callable[[DataFrame], DataFrame] | None = None) -> int:
         """Replace all days from ``cutoff`` on (all rows, where it is None) by ``fresh``; rows written.
 
         One distributed write of the window, then one commit.  Days without fresh rows end with the version: no job of
         their own.  History is neither read nor copied.  Runs on other days may commit in between and are kept;
         a run that finds a day of its window changed meanwhile ends with :class:`Overtaken` and changes nothing.
+        ``watch`` is given the rows right before they are written; further columns of ``fresh`` reach it and end there.
         """
         base = self.days()
         if cutoff is not None:
             fresh = fresh.filter(in_window(F.col(self.day), cutoff))
-        folder, written = self._batch(fresh)
+        folder, written = self._batch(fresh, watch)
         self.commit(written, cutoff, base)
         return self._rows(folder, written)
 
@@ -133,12 +135,16 @@ class SnapshotTable:
         self.commit(written, None, base, only, note, seen)
         return self._rows(folder, written)
 
-    def _batch(self, fresh: DataFrame) -> tuple[str, dict[str, str]]:
+    def _batch(self, fresh: DataFrame, watch: Callable[[DataFrame], DataFrame] | None = None) -> tuple[str, dict[str, str]]:
         """Rows written as a batch of their own: its folder, and the days it holds."""
         batch = uuid.uuid4().hex
         folder = f"data/batch={batch}"
-        fresh = fresh.select(*self.schema.fieldNames())
-        fresh.hint("rebalance", F.col(self.day)).write.partitionBy(self.day).parquet(f"{self.path}/{folder}")
+        columns = self.schema.fieldNames()
+        if watch is None:
+            dealt = fresh.select(*columns).hint("rebalance", F.col(self.day))
+        else:
+            dealt = watch(fresh.hint("rebalance", F.col(self.day))).select(*columns)
+        dealt.write.partitionBy(self.day).parquet(f"{self.path}/{folder}")
         return folder, {n.split("=", 1)[1]: batch for n in self._names(folder) if n.startswith(f"{self.day}=")}
 
     def _rows(self, folder: str, written: dict[str, str]) -> int:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from marketday.functions.text import STATEMENT_CHARS
+from marketday.operators.checks import WriteCounts
 from marketday.operators.rebuild import cutoff_date, in_window
 from marketday.operators.snapshots import SnapshotTable, is_snapshot
 from marketday.plans import anomalies, marts, quality
@@ -64,12 +65,13 @@ class DailyRun:
     Every step may be repeated: window tables are rebuilt from the orders as they are then, the log grows.  Each rebuild is a
     version of its table, so readers see the one before or the one after; :meth:`tidy` removes older ones.  Within
     one ``run`` the order lines of the window are joined once, staged in the shared folder, used by the fact and
-    the KPI step, and dropped.
+    the KPI step, and dropped; the checks' counts are taken while the facts are written.
     """
 
     def __init__(self, spark: SparkSession, tables: Tables, root: str, as_of: dt.date):
         self.spark, self.tables, self.root, self.as_of = spark, tables, root, as_of
         self._staged: dict[int, str] | None = None  # only during a run
+        self._found: dict[int, dict[str, int]] = {}  # what this run's write of the facts has counted
 
     def orders(self, days_back: int) -> DataFrame:
         needed = marts.window_orders(self.tables, self.as_of, days_back).select(
@@ -99,16 +101,22 @@ class DailyRun:
         """Remove what only older versions hold; folders removed.  Not while a run writes."""
         return sum(self.snapshots(name).expire(keep) for name in WINDOW_MARTS)
 
-    def _rebuild(self, rows: DataFrame, name: str, days_back: int, stamp: str) -> int:
+    def _rebuild(self, rows: DataFrame, name: str, days_back: int, stamp: str, counts: WriteCounts | None = None) -> int:
         rows = shaped(rows, name, **{stamp: now_column()})
         table = self.snapshots(name)
         if exists(self.spark, table.path) and not is_snapshot(self.spark, table.path) and not exists(self.spark, f"{table.path}/data"):
             table.rebuild(read_mart(self.spark, self.root, name), None)  # a table of day folders becomes the first version
-        return table.rebuild(rows, cutoff_date(self.as_of, days_back))
+        cutoff = cutoff_date(self.as_of, days_back)
+        return table.rebuild(counts.prepare(rows), cutoff, counts.watch) if counts else table.rebuild(rows, cutoff)
 
     def build_fact(self, days_back: int = marts.DEFAULT_DAYS) -> int:
         rows = marts.daily_item_sales(self.orders(days_back))
-        return self._rebuild(rows, "fact_daily_item_sales", days_back, "last_updated_at")
+        if self._staged is None:
+            return self._rebuild(rows, "fact_daily_item_sales", days_back, "last_updated_at")
+        counts = quality.write_counts()
+        written = self._rebuild(rows, "fact_daily_item_sales", days_back, "last_updated_at", counts)
+        self._found[days_back] = counts.found()
+        return written
 
     def build_kpi(self, days_back: int = marts.DEFAULT_DAYS, per_line: bool = False) -> int:
         rows = marts.build_kpi(
@@ -117,7 +125,11 @@ class DailyRun:
         return self._rebuild(rows, "kpi_daily_brand", days_back, "last_updated_at")
 
     def run_checks(self, days_back: int = quality.DEFAULT_DAYS) -> int:
-        rows = quality.fact_checks(self.facts(days_back), self.as_of, days_back)
+        facts = self.facts(days_back)
+        if days_back in self._found:
+            rows = quality.fact_checks_from(self._found[days_back], facts, self.as_of, days_back)
+        else:
+            rows = quality.fact_checks(facts, self.as_of, days_back)
         path, own = f"{self.root}/dq_results", scratch_path(self.spark, "checks")
         shaped(rows, "dq_results", run_ts=now_column()).write.parquet(own)
         rows = self.spark.read.schema(MART["dq_results"]).parquet(own)
@@ -140,7 +152,7 @@ class DailyRun:
             ("run_checks", self.run_checks, days_back),
             ("detect", self.detect, max(days_back, anomalies.DEFAULT_DAYS)),
         ]
-        log, failure, self._staged = [], None, {}
+        log, failure, self._staged, self._found = [], None, {}, {}
         for name, step, days in steps:
             try:
                 log.append((name, True, step(days), "", MESSAGES[name].format(days)))
@@ -150,7 +162,7 @@ class DailyRun:
                 break
         for path in self._staged.values():
             drop_path(self.spark, path)
-        self._staged = None
+        self._staged, self._found = None, {}
         columns = ("step", "success", "rows_affected", "error", "message")
         entries = F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip(columns, row)]) for row in log])
         rows = self.spark.range(1).select(F.inline(entries)).withColumn("rows_affected", F.col("rows_affected").cast("bigint"))

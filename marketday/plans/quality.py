@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketday.operators import checks
@@ -21,9 +21,24 @@ NOTES = {
     "FACT_NON_NEGATIVE": "quantity, gross_sales, net_sales must be >= 0",
     "FACT_DUPLICATES": "Duplicate rows at (date, menu_item_id, location_id)",
 }
+NO_SAMPLE = '{"sample_rows":[]}'
 # --- end of fixed values ---
 
 
+def write_counts() -> checks.WriteCounts:
+    """The three counts, taken while fact rows are written."""
+    return checks.WriteCounts(UNIQUE_KEY, no_key=checks.any_null(REQUIRED_KEYS), negative=checks.any_negative(MEASURES))
+
+
+def fact_checks_from(found: dict[str, int], fact: DataFrame, as_of: dt.date, days_back: int = DEFAULT_DAYS) -> DataFrame:
+    """The log rows of counts that are known from the write; the table is read only where there are rows to show."""
+    counts = fact.sparkSession.range(1).select(*[F.lit(n).cast("bigint").alias(name) for name, n in found.items()])
+    if found["no_key"] == 0:
+        return _log(counts, F.lit(NO_SAMPLE))
+    window = fact.filter(in_window(F.col("date"), cutoff_date(as_of, days_back)))
+    return _log(counts, checks.sample_json(window, checks.any_null(REQUIRED_KEYS), window.columns).scalar())
+
+
 def fact_checks(fact: DataFrame, as_of: dt.date, days_back: int = DEFAULT_DAYS) -> DataFrame:
     """Check the window of the fact table; rows as the log table takes them, without the run time.
 
@@ -41,8 +56,10 @@ def fact_checks(fact: DataFrame, as_of: dt.date, days_back: int = DEFAULT_DAYS)
         F.coalesce(F.sum("no_key"), F.lit(0)).alias("no_key"), F.coalesce(F.sum("negative"), F.lit(0)).alias("negative"),
         F.count_if(F.col("rows") > 1).alias("twice"),
     )
-    sample = checks.sample_json(window, no_key, window.columns).scalar()
+    return _log(counts, checks.sample_json(window, no_key, window.columns).scalar())
+
 
+def _log(counts: DataFrame, sample: Column) -> DataFrame:
     def entry(check, failed, sample=None):
         return checks.result(check, SEVERITY, NOTES[check], failed, sample)
 
