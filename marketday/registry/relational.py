@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from marketday.functions.scalar import safe_divide
 from marketday.operators import checks
 from marketday.operators.order_stats import band_bits, group_order_stats, trailing_order_stats, units
+from marketday.operators.ranges import trailing_join, trailing_sums_at
 from marketday.operators.rebuild import cutoff_date, in_window
 from marketday.operators.trailing import (
     daily_moments, sample_sd, trailing_moments, trailing_sums_by_frame, trailing_sums_by_join,
@@ -199,6 +202,42 @@ def jn_trailing_range_exploded(spark, sf_dir):
     return trailing_sums_by_join(_daily(spark, sf_dir), ["menu_item_id"], "date", "sales")
 
 
+_SPANS = (1, 60)  # days
+
+
+def _span_sql(days: int) -> str:
+    near = f"b.ts >= a.ts - INTERVAL {days} DAY"
+    return f"""count(b.value) FILTER ({near}) AS n_{days}d,
+       CAST(sum(CAST(b.value AS DECIMAL(18,2))) FILTER ({near}) AS DOUBLE) AS total_{days}d"""
+
+
+@R.add("jn_trailing_events", f"""
+SELECT a.user_id, strftime(a.ts, '%Y-%m-%d %H:%M:%S') AS ts, {", ".join(_span_sql(n) for n in _SPANS)}
+FROM (SELECT DISTINCT user_id, ts FROM events) a LEFT JOIN events b ON b.user_id = a.user_id AND b.ts < a.ts
+GROUP BY a.user_id, a.ts""")
+def jn_trailing_events(spark, sf_dir):
+    """What each user's events of the day and of the 60 days before add up to, at every event, to the microsecond."""
+    events = source(spark, sf_dir, "events").select("user_id", "ts", F.col("value").cast("decimal(18,2)").alias("value"))
+    return trailing_sums_at(events, ["user_id"], "ts", "value", {f"{n}d": dt.timedelta(days=n) for n in _SPANS})
+
+
+@R.add("jn_range_events", """
+SELECT p.user_id, p.event_id AS purchase_id, s.event_id AS signup_id
+FROM events p JOIN events s ON s.user_id = p.user_id AND s.ts >= p.ts - INTERVAL 60 DAY AND s.ts < p.ts
+WHERE p.event_type = 'purchase' AND s.event_type = 'signup'""")
+def jn_range_events(spark, sf_dir):
+    """Purchases and the same user's sign-ups of the 60 days before, by time bins."""
+    events = source(spark, sf_dir, "events")
+
+    def of(kind, event, time):
+        return events.filter(F.col("event_type") == kind).select("user_id", F.col("event_id").alias(event), F.col("ts").alias(time))
+
+    pairs = trailing_join(
+        of("purchase", "purchase_id", "bought"), of("signup", "signup_id", "signed"), ["user_id"], "bought", "signed", dt.timedelta(days=60)
+    )
+    return pairs.select("user_id", "purchase_id", "signup_id")
+
+
 # ---- aggregations -------------------------------------------------------------------------------
 
 
