@@ -43,14 +43,19 @@ def whole_key(col):
     return F.when(col == F.floor(col), col.try_cast("bigint"))
 
 
-def orders_v(t: Tables, header: DataFrame | None = None, lines: DataFrame | None = None) -> DataFrame:
+def orders_v(
+    t: Tables, header: DataFrame | None = None, lines: DataFrame | None = None, sold: DataFrame | None = None
+) -> DataFrame:
     """Line-grain star join: five inner joins, and members attached where the customer is one.
 
-    ``header`` and ``lines`` may be already narrowed order headers and lines (a date window).
+    ``header`` and ``lines`` may be already narrowed order headers and lines (a date window), or ``sold`` the two
+    joined by order id, as ``sources.buckets.ByOrder.joined`` gives them.
     """
-    header = t["order_header"] if header is None else header
-    header = header.withColumn("location_id", whole_key(F.col("location_id")))
-    lines = (t["order_detail"] if lines is None else lines).drop("discount_id")
+    if sold is None:
+        header = t["order_header"] if header is None else header
+        lines = (t["order_detail"] if lines is None else lines).drop("discount_id")
+        sold = lines.join(header, "order_id")
+    sold = sold.withColumn("location_id", whole_key(F.col("location_id")))
     trucks = t["truck"].drop("menu_type_id")
     menu = t["menu"].select("menu_item_id", "menu_item_name", "menu_type", "truck_brand_name")
     owners = t["franchise"].select(
@@ -63,8 +68,7 @@ def orders_v(t: Tables, header: DataFrame | None = None, lines: DataFrame | None
         "children_count", "gender", "marital_status",
     )
     joined = (
-        lines.join(header, "order_id")
-        .join(trucks, "truck_id")
+        sold.join(trucks, "truck_id")
         .join(menu, "menu_item_id")
         .join(owners, "franchise_id")
         .join(t["location"].select("location_id"), "location_id")

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from marketday.plans import views
 from marketday.registry.base import Registry, roles, with_roles
+from marketday.session import scratch_path
+from marketday.sources.buckets import ByOrder, buckets_for, store_by_order
 
 R = Registry()
 
@@ -34,6 +36,15 @@ def v_orders(spark, sf_dir):
     return views.orders_v(roles(spark, sf_dir))
 
 
+@R.add("v_orders_bucketed", with_roles(f"SELECT {_sql_columns(views.ORDER_COLUMNS)} FROM orders_v"))
+def v_orders_bucketed(spark, sf_dir):
+    """The same from lines and headers that were dealt by order id when they were stored: the two meet without a shuffle."""
+    t, root = roles(spark, sf_dir), scratch_path(spark, "by-order")
+    buckets = buckets_for(t["order_detail"])
+    store_by_order(t["order_detail"], t["order_header"], root, buckets)
+    return views.orders_v(t, sold=ByOrder(spark, root, buckets).joined())
+
+
 @R.add("v_analytics_orders", with_roles(f"SELECT {_sql_columns(['date', *views.ORDER_COLUMNS])} FROM orders_v"))
 def v_analytics_orders(spark, sf_dir):
     return views.analytics_orders_v(roles(spark, sf_dir))
