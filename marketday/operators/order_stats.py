@@ -212,7 +212,8 @@ def _median_deviations(
 
 
 def _by_bands(bands: DataFrame, groups: list[str], fetch: Fetch, bits: Column, median_dev: bool) -> DataFrame:
-    medians = stage(_medians(bands, groups, fetch), "medians")  # one row per group, used twice
+    # One row per group, used twice.  Stored, millions of them take a few MB, by which Spark would send them whole through the driver.
+    medians = stage(_medians(bands, groups, fetch), "medians").hint("merge")
     cols = ["n", (F.col("m2") / 2).alias("median"), F.col("mean_dev").alias("mean_abs_dev")]
     out = medians
     if median_dev:
@@ -238,10 +239,12 @@ def trailing_order_stats(
     unit: Column,
     window: int = 60,
     median_dev: bool = True,
+    wanted: DataFrame | None = None,
 ) -> DataFrame:
     """Order statistics over the days ``[d - window, d - 1]`` for each day ``d`` from first to last.
 
-    ``df`` carries ``keys``, ``day`` and whole units ``v`` (see :func:`units`); ``bits`` is the band width and ``unit`` the units per value, which may depend on the keys.
+    ``wanted`` names the frames by ``keys`` and ``day``, where not all days are: a key with few rows then costs its frames, not
+    the calendar.  ``df`` carries ``keys``, ``day`` and whole units ``v`` (see :func:`units`); ``bits`` is the band width and ``unit`` the units per value, which may depend on the keys.
     Days without any value in their frame are absent.
     """
     groups = [*keys, day]
@@ -263,19 +266,25 @@ def trailing_order_stats(
             F.greatest("at", F.lit(first_day)).alias("from_day"),
             F.least(F.date_sub(F.lead("at").over(upto), 1), F.lit(last_day)).alias("to_day"),
         )
-        days = F.explode(F.sequence("from_day", "to_day")).alias(day)
-        return held.filter("c > 0 AND from_day <= to_day").select(*keys, days, "band", "c", "s")
-
-    counted = stage(_with_band(counted, bits), "counts")
-    bands = framed(_bands(counted, groups))
+        held = held.filter("c > 0 AND from_day <= to_day")
+        if wanted is None:
+            return held.select(*keys, F.explode(F.sequence("from_day", "to_day")).alias(day), "band", "c", "s")
+        # A span without a change is no longer than a frame, so it touches one or two blocks of days.
+        spans = held.withColumn("block", F.explode(F.sequence(block(F.col("from_day")), block(F.col("to_day")))))
+        asked = wanted.select(*groups).distinct().withColumn("block", block(F.col(day)))
+        met = asked.join(spans, [*keys, "block"]).filter(F.col(day).between(F.col("from_day"), F.col("to_day")))
+        return met.select(*groups, "band", "c", "s")
 
     def block(days) -> Column:
         return F.floor(F.unix_date(days) / window)
 
+    counted = stage(_with_band(counted, bits), "counts")
+    bands = framed(_bands(counted, groups))
+
     def fetch(chosen: DataFrame) -> DataFrame:
         values = counted.select(*keys, F.col(day).alias("on_day"), "band", "v", "c", block(F.col(day)).alias("block"))
         touched = F.sequence(block(F.date_sub(day, window)), block(F.date_sub(day, 1)))
-        met = chosen.withColumn("block", F.explode(touched)).join(values, [*keys, "band", "block"])
+        met = chosen.withColumn("block", F.explode(touched)).join(values.hint("merge"), [*keys, "band", "block"])
         framed = met.filter(F.col("on_day").between(F.date_sub(day, window), F.date_sub(day, 1)))
         return framed.groupBy(*chosen.columns, "v").agg(F.sum("c").alias("c"))  # equal values of all days are one
 

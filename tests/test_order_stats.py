@@ -159,3 +159,28 @@ def test_frame_join_and_theta_join_agree(spark):
     want = sorted(map(tuple, theta.collect()))
     assert sorted(map(tuple, trailing_sums_by_frame(df, ["k"], "day", "v", 10).collect())) == want
     assert sorted(map(tuple, trailing_sums_by_join(df, ["k"], "day", "v", 10).collect())) == want
+
+
+def test_only_the_frames_asked_for(spark):
+    """A key with few rows costs its own frames, not every day of the calendar; the results of those are the same."""
+    rows, start, last = fact()
+    df = spark.createDataFrame(rows, "k int, day date, v bigint")
+    first = start + dt.timedelta(days=15)
+    asked = df.filter((F.col("day") >= F.lit(first)) & (F.col("k") + F.dayofmonth("day") < 12)).select("k", "day")
+    args = (df, ["k"], "day", first, last, F.lit(band_bits(5000)), F.lit(1.0))
+    everything = as_dict(trailing_order_stats(*args, window=10), ["k", "day"])
+    got = as_dict(trailing_order_stats(*args, window=10, wanted=asked), ["k", "day"])
+    keys = {(r["k"], r["day"]) for r in asked.collect()}
+    assert got and set(got) == keys & set(everything)
+    for key, row in got.items():
+        assert row == everything[key]
+
+
+def test_no_frames_through_the_driver(spark):
+    """One row per frame is a few MB when stored, whatever it takes in memory: none is broadcast."""
+    rows, start, last = fact()
+    df = spark.createDataFrame(rows, "k int, day date, v bigint")
+    stats = trailing_order_stats(df, ["k"], "day", start, last, F.lit(4), F.lit(1.0), window=10, wanted=df)
+    plan = stats._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Scan parquet" in plan
+    assert not [line for line in plan.splitlines() if "BroadcastHashJoin" in line and "block" not in line]
