@@ -43,21 +43,8 @@ def whole_key(col):
     return F.when(col == F.floor(col), col.try_cast("bigint"))
 
 
-def orders_v(
-    t: Tables, header: DataFrame | None = None, lines: DataFrame | None = None, sold: DataFrame | None = None
-) -> DataFrame:
-    """Line-grain star join: five inner joins, and members attached where the customer is one.
-
-    ``header`` and ``lines`` may be already narrowed order headers and lines (a date window), or ``sold`` the two
-    joined by order id, as ``sources.buckets.ByOrder.joined`` gives them.
-    """
-    if sold is None:
-        header = t["order_header"] if header is None else header
-        lines = (t["order_detail"] if lines is None else lines).drop("discount_id")
-        sold = lines.join(header, "order_id")
-    sold = sold.withColumn("location_id", whole_key(F.col("location_id")))
-    trucks = t["truck"].drop("menu_type_id")
-    menu = t["menu"].select("menu_item_id", "menu_item_name", "menu_type", "truck_brand_name")
+def _with_parties(t: Tables, sold: DataFrame) -> DataFrame:
+    """Location, member (where the buyer is one), truck and its owner to every row; the widest come last, to be shuffled least."""
     owners = t["franchise"].select(
         "franchise_id",
         F.col("first_name").alias("franchisee_first_name"),
@@ -67,15 +54,35 @@ def orders_v(
         F.col("customer_id").alias("member_id"), "first_name", "last_name", "e_mail", "phone_number",
         "children_count", "gender", "marital_status",
     )
-    joined = (
-        sold.join(trucks, "truck_id")
-        .join(menu, "menu_item_id")
-        .join(owners, "franchise_id")
+    return (
+        sold.withColumn("location_id", whole_key(F.col("location_id")))
         .join(t["location"].select("location_id"), "location_id")
         .withColumnRenamed("customer_id", "buyer_id")
         .join(members, F.col("buyer_id") == F.col("member_id"), "left")
         .withColumnRenamed("member_id", "customer_id")  # the member's key: NULL for other buyers
+        .join(t["truck"].drop("menu_type_id").join(owners, "franchise_id"), "truck_id")
     )
+
+
+def orders_v(
+    t: Tables, header: DataFrame | None = None, lines: DataFrame | None = None, sold: DataFrame | None = None
+) -> DataFrame:
+    """Line-grain star join: five inner joins, and members attached where the customer is one.
+
+    ``header`` and ``lines`` may be already narrowed order headers and lines (a date window), or ``sold`` the two
+    joined by order id, as ``sources.buckets.ByOrder.joined`` gives them.
+    """
+    menu = t["menu"].select("menu_item_id", "menu_item_name", "menu_type", "truck_brand_name")
+    if sold is None and header is None:
+        # All orders: headers, of which there are fewer, take their dimensions before the lines meet them; after that only
+        # the menu's join may shuffle lines with all columns.
+        lines = (t["order_detail"] if lines is None else lines).drop("discount_id")
+        joined = lines.join(_with_parties(t, t["order_header"]), "order_id").join(menu, "menu_item_id")
+    else:
+        # A window: the lines meet its headers first, as that drops most of them.
+        if sold is None:
+            sold = (t["order_detail"] if lines is None else lines).drop("discount_id").join(header, "order_id")
+        joined = _with_parties(t, sold.join(menu, "menu_item_id"))
     return joined.select(*ORDER_COLUMNS)
 
 
