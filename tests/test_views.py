@@ -1,10 +1,13 @@
 import datetime as dt
+import re
 from decimal import Decimal
 
 import pytest
 
+from marketday import session
 from marketday.plans import views
 from marketday.sources.schemas import RAW, names
+from marketday.sources.standin import RoleTables
 
 
 def table(spark, role, *rows):
@@ -99,3 +102,22 @@ def test_views_for_sql(spark, t):
     got = spark.sql("SELECT count(*) AS n, sum(quantity) AS q FROM analytics_orders_v WHERE date < DATE'2022-03-01'").first()
     assert tuple(got) == (3, 3)
     assert spark.table("semantic_layer_orders_v").count() == 4
+
+
+def test_headers_take_their_dimensions_before_the_lines(spark, sf_dir):
+    """Lines with all columns pass one shuffle, the menu's: members, trucks and places are joined to headers, below the lines' join."""
+    orders = views.orders_v(RoleTables(spark, sf_dir))
+    plan = orders._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    depth = {name: next(re.search(r"[A-Za-z]", line).start() for line in plan if name in line and "Relation" in line)
+             for name in ("l_orderkey", "c_custkey", "s_suppkey", "p_partkey")}
+    assert depth["p_partkey"] < depth["l_orderkey"] < min(depth["c_custkey"], depth["s_suppkey"])
+
+
+def test_a_task_reads_at_most_its_share(spark):
+    key, old = "spark.sql.adaptive.advisoryPartitionSizeInBytes", spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    try:
+        for before, after in (("64MB", str(16 << 20) + "b"), ("8m", "8m")):
+            spark.conf.set(key, before)
+            assert session.tune(spark).conf.get(key) == after
+    finally:
+        spark.conf.set(key, old)
