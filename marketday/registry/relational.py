@@ -469,8 +469,8 @@ SELECT CAST(date AS VARCHAR), menu_item_id, country, location_id, 'QUANTITY', CA
 
 @R.add("set_union_all_metrics", _METRICS)
 def set_union_all_metrics(spark, sf_dir):
-    """Two metric branches over the same rows, one after the other."""
-    fact = _history(spark, sf_dir)
+    """Two metric branches over the same rows, one after the other; the rows are computed once."""
+    fact = stored(_history(spark, sf_dir).select("date", "menu_item_id", "country", "location_id", "net_sales", "quantity"))
 
     def branch(name, column):
         return fact.select(
