@@ -190,6 +190,22 @@ def test_encoder_is_the_tokenizer(tokenizer):
         assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_known_pieces_cost_less_than_scalars_of_them():
+    import time
+
+    def taken(run):
+        start = time.process_time()
+        run()
+        return time.process_time() - start
+
+    enc = tokens.Encoder(tokens.default_path())
+    pieces = [f"w{i}" for i in range(150_000)]
+    texts, distinct = pa.array([" ".join(pieces)]), pa.array(pieces)
+    enc.encode(texts)
+    scalars = min(taken(distinct.to_pylist) for _ in range(3))
+    assert min(taken(lambda: enc.encode(texts)) for _ in range(3)) < scalars
+
+
 def test_added_tokens_inside_texts(spark, tokenizer):
     texts = ["x<|startoftext|>y", "<|endoftext|>", "<|ENDOFTEXT|>", "don't<|endoftext|>'s", "a <|endoftext|> b\n<|startoftext|>é", "<|endoftext|", "<|endoftext|>漢<|endoftext|>"]
     want = [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
