@@ -108,15 +108,22 @@ def group_order_stats(df: DataFrame, keys: list[str], value: str, median_dev: bo
 # ---- trailing frames -------------------------------------------------------------------------------
 
 
-def band_bits(largest) -> int:
+def band_bits(largest, spread=None, most=None) -> int:
     """Width of a band, in bits, for values up to ``largest`` units.
 
     A band spans at most a million different values, however they are distributed; there are at
     least 32 bands (for ranges that have so many values) and, below 2**40 units, at most a million.
     Wider ranges are halved in bits: as many bands as values per band.
+
+    Where no frame has over a million values (``most``, at most so many in one), no band holds more either, however wide.
+    Bands then widen with the ``spread`` of the values: about the square root of a frame's values to it.  So a frame's
+    bands do not grow with the values, and are about as many as the values that are looked at again.
     """
     bits = int(largest or 0).bit_length()
-    return max(1, min(20, bits - 5), (bits + 1) // 2 if bits > 40 else 0)
+    bits = max(1, min(20, bits - 5), (bits + 1) // 2 if bits > 40 else 0)
+    if spread and most and most <= 1 << 20:
+        bits = max(bits, int(spread).bit_length() - int(most).bit_length() // 2)
+    return bits
 
 
 def _exact(col: str) -> Column:

@@ -392,9 +392,13 @@ def win_trailing_mean_sd(spark, sf_dir):
 
 def _trailing_order(spark, sf_dir, median_dev):
     rows = stored(_history(spark, sf_dir).select("menu_item_id", "date", units(F.col("net_sales"), 2).alias("v")))
-    last, first, largest = rows.agg(F.max("date"), F.min("date"), F.max("v")).first()
+    last, first, largest, middle = rows.agg(
+        F.max("date"), F.min("date"), F.max("v"), F.percentile_approx("v", [0.1, 0.9], 1000),
+    ).first()
+    in_a_day = rows.groupBy("menu_item_id", "date").count().agg(F.max("count")).first()[0] or 0
+    bits = band_bits(largest, middle and middle[1] - middle[0], 60 * in_a_day)
     stats = trailing_order_stats(
-        rows, ["menu_item_id"], "date", first, last, F.lit(band_bits(largest)), F.lit(100.0), median_dev=median_dev,
+        rows, ["menu_item_id"], "date", first, last, F.lit(bits), F.lit(100.0), median_dev=median_dev,
     )
     return rows.select("menu_item_id", "date").distinct().join(stats, ["menu_item_id", "date"])
 

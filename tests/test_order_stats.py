@@ -126,6 +126,30 @@ def test_trailing_against_brute_force(spark):
         same(got[key], want)
 
 
+@pytest.mark.parametrize("factor", [1, 64, 4096])
+def test_bands_do_not_grow_with_the_values(spark, factor):
+    """Few large values to a frame: as many bands for any factor, and the same statistics times the factor."""
+    rng = random.Random(5)
+    first, last = dt.date(2024, 1, 1), dt.date(2024, 2, 9)
+    rows = [
+        (first + dt.timedelta(days=d), factor * rng.choice([rng.randint(0, 1 << 24), -3, 1 << 34]))
+        for d in range(40) for _ in range(25)
+    ]
+    bits, plain = band_bits(factor << 34, factor << 24, 25 * 10), band_bits(factor << 34)
+    assert bits == max(plain, (factor << 24).bit_length() - 4)
+    assert len({v >> bits for _, v in rows if 0 <= v <= factor << 24}) <= 33
+    df = spark.createDataFrame([("a", *r) for r in rows], "k string, day date, v long")
+    got = as_dict(trailing_order_stats(df, ["k"], "day", first, last, F.lit(bits), F.lit(1.0), window=10), ["day"])
+    for d in range(1, 40):
+        day = first + dt.timedelta(days=d)
+        same(got[day,], brute([v for at, v in rows if day - dt.timedelta(days=10) <= at < day]))
+
+
+def test_wide_bands_only_where_frames_are_small():
+    assert band_bits(1 << 34, 1 << 30, (1 << 20) + 1) == band_bits(1 << 34) == 20 < band_bits(1 << 34, 1 << 30, 1 << 20)
+    assert band_bits(None, None, 0) == band_bits(0) == 1
+
+
 def test_trailing_moments_pool_all_rows(spark):
     rows, _, _ = fact(3)
     df = spark.createDataFrame([(k, d, float(v) + 1e9) for k, d, v in rows], "k int, day date, x double")
