@@ -343,6 +343,14 @@ def test_jaccard_join(docs, rows, monkeypatch, k, percent, region):
     assert got == brute_join(rows, k, percent)
 
 
+def test_only_members_with_a_partner_of_fitting_size_go_on(spark):
+    rng = random.Random(8)
+    rows = [(r, i, rng.choice([1, 9, 10, rng.randint(1, 400)])) for i, r in enumerate(rng.choices(range(40), k=160))]
+    got = {r["c"] for r in jaccard._with_partner(spark.createDataFrame(rows, "region long, c long, n long"), 90).collect()}
+    assert got == {i for r, i, n in rows if any(r == s and i != j and 100 * min(n, m) >= 90 * max(n, m) for s, j, m in rows)}
+    assert len(got) < len(rows)
+
+
 def test_jaccard_join_of_nothing(nothing):
     assert jaccard.digest(nothing).collect() == []
 
