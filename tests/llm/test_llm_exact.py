@@ -11,6 +11,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from marketday.llm import decontamination, jaccard, line_dedup, packing, repeats, sharding, token_files, tokens
 
@@ -53,6 +54,22 @@ def test_repeats_of_nothing(nothing):
     assert repeats.digest(nothing).collect() == []
 
 
+def test_a_context_of_many_texts_is_marked_where_it_was_read(spark):
+    """One context is found in half of all places; none of them may be brought to one task."""
+    rng = random.Random(4)
+    hot = [(i, 0, 7, 400, 1, 5, 5) for i in range(4000)]
+    pairs = [(i, 1, 9, 410, 2, 6 + i // 2, 6) for i in range(3000)]
+    alone = [(i, 2, 0, 400, 3, -1 - i, 8) for i in range(1000)]
+    rows = rng.sample(hot + pairs + alone, 8000)
+    df = spark.createDataFrame(rows, repeats.FOUND).repartition(8)
+    counted = df.groupBy("a", "d").agg(F.count("*").alias("c"))
+    found = repeats._alike(df, counted)
+    assert as_rows(found) == collections.Counter((r1, r2, lo, lo + n) for r1, r2, lo, n, *_ in hot + pairs)
+    sizes = found.where("r2 = 0").groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) == 8 and max(s["count"] for s in sizes) < 1000
+    assert repeats._alike(df.limit(0), counted.limit(0)).collect() == []
+
+
 @pytest.mark.parametrize("seed", range(12))
 def test_run_index(seed):
     rng = random.Random(seed)
