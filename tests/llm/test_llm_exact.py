@@ -368,6 +368,35 @@ def test_only_members_with_a_partner_of_fitting_size_go_on(spark):
     assert len(got) < len(rows)
 
 
+@pytest.mark.parametrize("part", [7, 1_000_000])
+@pytest.mark.parametrize("kind", [pa.string(), pa.large_string()])
+def test_word_hashes(monkeypatch, part, kind):
+    monkeypatch.setattr(jaccard, "PART", part)
+    texts = ["left out", "", " a  b\tA\n", "x", "Éa éA b \u2003", "  ", "ab" * 300 + " BA", "\x0bb\x0cc\rd a\x00b", "a", ""]
+    hashes, bounds = jaccard.word_hashes(pa.array(texts, kind)[1:])
+    words = [re.findall(r"[^\x20\x09-\x0D]+", t.translate(FOLD)) for t in texts[1:]]
+    assert np.diff(bounds).tolist() == [len(w) for w in words]
+    met = dict(zip([w for of in words for w in of], hashes.tolist(), strict=True))
+    assert [met[w] for of in words for w in of] == hashes.tolist() and len(set(met.values())) == len(met)
+    assert [len(x) for x in jaccard.word_hashes(pa.array([], kind))] == [0, 1]
+
+
+def test_rare_words_lead_the_order_where_counters_are_full(monkeypatch):
+    monkeypatch.setattr(jaccard, "SLOTS", 10)  # over ten shingles a slot
+    monkeypatch.setattr(jaccard, "WORDS", 12)
+    monkeypatch.setattr(jaccard, "CHUNK", 1 << 9)
+    rng = random.Random(3)
+    texts = [" ".join([*rng.choices("the of and to in is it as at on".split(), k=15), f"name{i}", *rng.choices("the of and to in is it as at on".split(), k=15)]) for i in range(400)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    (levels,) = jaccard._levels([*jaccard._counted(3)([batch]), *jaccard._counted(3)([batch])])
+    by_chunk = dict(zip(*(c.to_pylist() for c in levels.columns), strict=True))
+    level = np.frombuffer(b"".join(by_chunk[c] for c in sorted(by_chunk)), dtype=np.uint8)
+    assert len(level) == (1 << 10) + (1 << 12)
+    out = [b.to_pydict() for b in jaccard._prefixes(3, 90, level[: 1 << 10], level[1 << 10 :])([batch])]
+    posted = [s for b in out for p in b["prefix"] for s in p]
+    assert len(posted) == len(set(posted)) >= 1200  # no two documents share what they are looked up by
+
+
 def test_jaccard_join_of_nothing(nothing):
     assert jaccard.digest(nothing).collect() == []
 
