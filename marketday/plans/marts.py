@@ -39,21 +39,19 @@ def daily_item_sales(orders: DataFrame) -> DataFrame:
     """Sales per day, item and location.
 
     Gross and net sales are both the sum of line prices.  ``orders_count`` counts an order once per
-    item and location it appears under.
+    item and location it appears under.  Keys turn into text after the grouping, which then needs no shuffle of
+    its own where the menu's join has dealt the lines by item.
     """
     sold = F.sum("price").cast("decimal(38,2)")
     return orders.groupBy(
-        F.to_date("order_ts").alias("date"),
-        F.col("menu_item_id").cast("string").alias("menu_item_id"),
-        "menu_item_name", "truck_brand_name", "country",
-        F.col("location_id").cast("string").alias("location_id"),
+        F.to_date("order_ts").alias("date"), "menu_item_id", "menu_item_name", "truck_brand_name", "country", "location_id",
     ).agg(
         F.count_distinct("order_id").alias("orders_count"),
         F.count(F.lit(1)).alias("order_lines"),
         F.sum("quantity").alias("quantity"),
         sold.alias("gross_sales"),
         sold.alias("net_sales"),
-    )
+    ).withColumns({key: F.col(key).cast("string") for key in ("menu_item_id", "location_id")})
 
 
 def build_fact(t: Tables, as_of: dt.date, days_back: int = DEFAULT_DAYS) -> DataFrame:

@@ -65,19 +65,19 @@ def _with_parties(t: Tables, sold: DataFrame) -> DataFrame:
 
 
 def orders_v(
-    t: Tables, header: DataFrame | None = None, lines: DataFrame | None = None, sold: DataFrame | None = None
+    t: Tables, header: DataFrame | None = None, lines: DataFrame | None = None, sold: DataFrame | None = None, most: bool = False
 ) -> DataFrame:
     """Line-grain star join: five inner joins, and members attached where the customer is one.
 
     ``header`` and ``lines`` may be already narrowed order headers and lines (a date window), or ``sold`` the two
-    joined by order id, as ``sources.buckets.ByOrder.joined`` gives them.
+    joined by order id, as ``sources.buckets.ByOrder.joined`` gives them.  ``most``: the window may hold most of the orders.
     """
     menu = t["menu"].select("menu_item_id", "menu_item_name", "menu_type", "truck_brand_name")
-    if sold is None and header is None:
-        # All orders: headers, of which there are fewer, take their dimensions before the lines meet them; after that only
+    if sold is None and (header is None or most):
+        # All orders, or most of them: headers, of which there are fewer, take their dimensions before the lines meet them; after that only
         # the menu's join may shuffle lines with all columns.
         lines = (t["order_detail"] if lines is None else lines).drop("discount_id")
-        joined = lines.join(_with_parties(t, t["order_header"]), "order_id").join(menu, "menu_item_id")
+        joined = lines.join(_with_parties(t, t["order_header"] if header is None else header), "order_id").join(menu, "menu_item_id")
     else:
         # A window: the lines meet its headers first, as that drops most of them.
         if sold is None:

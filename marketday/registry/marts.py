@@ -284,7 +284,7 @@ def p_fact_incremental(spark, sf_dir):
     for drop in drops:
         for source, rows in drop.items():
             rows = rows.select(t[source].columns)
-            rows.write.mode("append").options(header="false", escape='"', emptyValue="").csv(f"{inbox}/{source}")
+            rows.write.mode("append").options(header="false", escape='"', emptyValue="", compression="gzip").csv(f"{inbox}/{source}")
         feed.run()
     return feed.mart.read().drop("last_updated_at")
 

@@ -103,3 +103,8 @@ def test_the_daily_run_goes_on_from_the_feed(spark, feed):
     assert run.mart("kpi_daily_brand").count() > 0
     feed.mart.expire(1)
     assert feed.mart.note() == kept and isinstance(feed.days[0], dt.date)
+
+
+def test_the_feed_keeps_no_shuffle_files(spark, feed):
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "true"
+    assert all(".zstd.parquet" in f for f in feed.raw("order_detail").inputFiles())

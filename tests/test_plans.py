@@ -99,3 +99,21 @@ def test_a_hot_join_key_is_split_below_a_grouping_by_the_same_key(spark, sf_dir,
     finally:
         spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", old)
         lines.unpersist()
+
+
+def test_facts_of_most_orders_shuffle_lines_for_their_headers_and_items_only(spark, sf_dir):
+    t = RoleTables(spark, sf_dir)
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        for k, v in zip(kept, ("false", "-1"), strict=True):
+            spark.conf.set(k, v)
+        fact = marts.daily_item_sales(views.orders_v(t, t["order_header"], t["order_detail"], most=True))
+        plan = physical(fact)
+        window = marts.daily_item_sales(views.orders_v(t, t["order_header"], t["order_detail"]))
+        assert sorted(map(tuple, fact.collect()), key=str) == sorted(map(tuple, window.collect()), key=str)
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    top = plan[: plan.index("hashpartitioning(")]
+    assert top.count("SortMergeJoin") == 1 and "menu_item_id" in plan[len(top) :].split("\n")[0]  # no shuffle above the menu's join
+    assert len(re.findall(r"hashpartitioning\(menu_item_id", plan)) == 2  # the lines, the menu
